@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidewright.llm import leakage, mojibake, packing, top_items
+from tidewright.llm import forest, leakage, mojibake, packing, top_items
 
 QUERIES = {
     "p5_found": (top_items.p5_found, top_items.P5_SQL),
+    "p6_found": (forest.p6_found, forest.P6_SQL),
+    "p6_neighbours": (forest.p6_neighbours, None),
     "p7_packed": (packing.p7_packed, None),
     "p8_found": (leakage.p8_found, None),
     "p8_passages": (leakage.p8_passages, None),
