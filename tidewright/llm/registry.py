@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidewright.llm import forest, leakage, mojibake, packing, top_items
+from tidewright.llm import clusters, forest, leakage, mojibake, packing, top_items
 
 QUERIES = {
+    "p4_found": (clusters.p4_found, None),
+    "p4_clusters": (clusters.p4_clusters, None),
     "p5_found": (top_items.p5_found, top_items.P5_SQL),
     "p6_found": (forest.p6_found, forest.P6_SQL),
     "p6_neighbours": (forest.p6_neighbours, None),
