@@ -17,7 +17,7 @@ def log_cell(x: Column) -> Column:
     return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("bigint"))
 
 
-def exact_medians(df: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+def exact_medians(df: DataFrame, key: str, values: dict[str, Column], upper: bool = False) -> DataFrame:
     """One row per ``key`` with the exact median of every expression in ``values``.
 
     Two passes: a histogram on a logarithmic grid, combined before the shuffle, finds the
@@ -26,7 +26,8 @@ def exact_medians(df: DataFrame, key: str, values: dict[str, Column]) -> DataFra
     most of the rows costs no more than another.
 
     Nulls and NaN are left out; a key whose values are all null gets a null median; a null
-    key is a key like any other. The mean of the two middle values is given for even counts.
+    key is a key like any other. The mean of the two middle values is given for even counts, or
+    the larger of them with ``upper``.
     """
     names = list(values)
     long = df.select(
@@ -51,10 +52,8 @@ def exact_medians(df: DataFrame, key: str, values: dict[str, Column]) -> DataFra
         inside.groupBy("k", "m", "x").agg(F.count(F.lit(1)).alias("n"), F.min("below").alias("below"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
         .withColumn("upto", F.sum("n").over(by_value) + F.min("below").over(Window.partitionBy("k", "m")))
     )
-    mid = ranked.groupBy("k").agg(
-        *[
-            ((F.min(F.when((F.col("m") == i) & (F.col("upto") > F.col("lo")), F.col("x"))) + F.min(F.when((F.col("m") == i) & (F.col("upto") > F.col("hi")), F.col("x")))) / 2).alias(n)
-            for i, n in enumerate(names)
-        ]
-    )
+    def at(i: int, rank: str) -> Column:
+        return F.min(F.when((F.col("m") == i) & (F.col("upto") > F.col(rank)), F.col("x")))
+
+    mid = ranked.groupBy("k").agg(*[(at(i, "hi") if upper else (at(i, "lo") + at(i, "hi")) / 2).alias(n) for i, n in enumerate(names)])
     return mid.withColumnRenamed("k", key)

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from tidewright.operators import regular_grid, rolling_totals, spikes
+from tidewright.operators import backtest, features, indicators, labels, regular_grid, rolling_totals, spikes, splits
 
 QUERIES = {
     "p1_found": (spikes.p1_found, spikes.P1_SQL),
     "p2_rolling_totals": (rolling_totals.p2_rolling_totals, rolling_totals.P2_SQL),
     "p3_found": (regular_grid.p3_found, regular_grid.P3_FOUND_SQL),
     "p3_grid": (regular_grid.p3_grid, regular_grid.P3_GRID_SQL),
+    "features": (features.q_features, features.FEATURES_SQL),
+    "positions": (features.q_positions, features.POSITIONS_SQL),
+    "panel_features": (features.q_panel, features.PANEL_SQL),
+    "indicators_window": (indicators.q_window, indicators.WINDOW_SQL),
+    "indicators_recursive": (indicators.q_recursive, None),
+    "on_balance_volume": (indicators.q_obv, indicators.OBV_SQL),
+    "triple_barrier": (labels.q_triple_barrier, labels.TRIPLE_SQL),
+    "label_uniqueness": (labels.q_uniqueness, labels.UNIQUE_SQL),
+    "cusum_events": (labels.q_cusum, None),
+    "purged_folds": (splits.q_purged, splits.PURGED_SQL),
+    "walk_forward_folds": (splits.q_walk_forward, splits.WALK_SQL),
+    "signal_backtest": (backtest.q_backtest, backtest.REPORT_SQL),
+    "cost_ladder": (backtest.q_costs, backtest.COSTS_SQL),
+    "fold_metrics": (backtest.q_folds, backtest.FOLDS_SQL),
+    "fold_summary": (backtest.q_fold_summary, backtest.FOLD_SUMMARY_SQL),
 }
