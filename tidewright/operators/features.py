@@ -163,7 +163,7 @@ FEATURES = {
 
 def base(candles: DataFrame) -> DataFrame:
     """Bars in chunks with their halo, returns and previous returns: what the features read."""
-    rows = bar_returns(with_halo(indexed(bars(candles))))
+    rows = bar_returns(with_halo(indexed(bars(candles)), ahead=1))
     return rows.withColumn("prev_ret", F.lag("ret").over(order()))
 
 

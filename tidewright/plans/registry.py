@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.operators import backtest, features, indicators, labels, regular_grid, rolling_totals, spikes, splits
+from tidewright.operators import backtest, features, forecast, indicators, inference, labels, regular_grid, rolling_totals, series_queries, spikes, splits
 
 QUERIES = {
     "p1_found": (spikes.p1_found, spikes.P1_SQL),
@@ -24,4 +24,7 @@ QUERIES = {
     "cost_ladder": (backtest.q_costs, backtest.COSTS_SQL),
     "fold_metrics": (backtest.q_folds, backtest.FOLDS_SQL),
     "fold_summary": (backtest.q_fold_summary, backtest.FOLD_SUMMARY_SQL),
+    **series_queries.QUERIES,
+    **forecast.QUERIES,
+    **inference.QUERIES,
 }
