@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.operators import backtest, features, forecast, indicators, inference, labels, regular_grid, rolling_totals, series_queries, spikes, splits
+from tidewright.operators import backtest, books, consensus, features, forecast, hashing, indicators, inference, labels, regular_grid, rolling_totals, series_queries, spikes, splits, vault
 
 QUERIES = {
     "p1_found": (spikes.p1_found, spikes.P1_SQL),
@@ -27,4 +27,8 @@ QUERIES = {
     **series_queries.QUERIES,
     **forecast.QUERIES,
     **inference.QUERIES,
+    **books.QUERIES,
+    **vault.QUERIES,
+    **hashing.QUERIES,
+    **consensus.QUERIES,
 }
