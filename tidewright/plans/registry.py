@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidewright.operators import backtest, books, consensus, features, forecast, hashing, indicators, inference, labels, regular_grid, rolling_totals, series_queries, spikes, splits, vault
+from tidewright.operators import backtest, books, consensus, features, forecast, hashing, indicators, inference, labels, learners, regular_grid, rolling_totals, series_queries, spikes, splits, vault
+from tidewright.plans import evaluate
+from tidewright.streaming import queries as streaming
 
 QUERIES = {
     "p1_found": (spikes.p1_found, spikes.P1_SQL),
@@ -31,4 +33,7 @@ QUERIES = {
     **vault.QUERIES,
     **hashing.QUERIES,
     **consensus.QUERIES,
+    **learners.QUERIES,
+    **evaluate.QUERIES,
+    **streaming.QUERIES,
 }
