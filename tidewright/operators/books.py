@@ -106,7 +106,7 @@ def score_book(gross: DataFrame, turnover: DataFrame, cost_bps: float = 5.0) ->
     both = gross.crossJoin(F.broadcast(first))
     n = F.count(F.lit(1))
     spread = (F.max("all") - F.max("entry")) * (cost_bps / 1e4) / n
-    return both.agg(n.alias("periods"), F.round(stats.sharpe("gross"), 6).alias("gross_sharpe"), F.round(F.max("all") - F.max("entry"), 6).alias("turnover"), F.round((F.avg("gross") - spread) / F.stddev_samp("gross"), 6).alias("net_sharpe"))
+    return both.agg(n.alias("periods"), F.round(stats.sharpe("gross"), 6).alias("gross_sharpe"), F.round(F.max("all") - F.max("entry"), 6).alias("turnover"), F.round(F.try_divide(F.avg("gross") - spread, F.stddev_samp("gross")), 6).alias("net_sharpe"))
 
 
 def inverse_vol_weights(returns: DataFrame) -> DataFrame:
