@@ -29,6 +29,7 @@ AFTER_LETTER = frozenset("‘’‚“”„–—…«»\u00a0")
 AFTER_CYRILLIC = AFTER_LETTER | frozenset("ёЁ№§©™®")
 VERBATIM = re.compile(r"\\verb\|[^|\n]*\|")
 FOREIGN = re.compile(r"[^\x00-\x7f]+")
+FOREIGN_ONE = re.compile(r"[^\x00-\x7f]")
 C1 = re.compile(r"[\x80-\x9f]")
 
 
@@ -107,13 +108,14 @@ def _strong(run: str, seq: tuple[int, int, str], name: str, before: str, after:
     return True
 
 
-_seen: dict[tuple[str, str, str], tuple[str, list[tuple[int, int, str]]]] = {}
+_seen: dict[tuple[str, str, str, str], tuple[str, list[tuple[int, int, str]]]] = {}
 
 
-def utf8_spans(run: str, before: str, after: str) -> tuple[str, list[tuple[int, int, str]]]:
+def utf8_spans(run: str, before: str, after: str, proven: str = "") -> tuple[str, list[tuple[int, int, str]]]:
     """``(code page, sequences)`` of a run, by the page that explains most of it; no sequences
-    where none is proof. Weak sequences count only beside a strong one they touch, or in a chain."""
-    key = (run, before, after)
+    where none is proof. Weak sequences count only beside a strong one they touch, or in a chain,
+    or as letters under a page that the text has ``proven``."""
+    key = (run, before, after, proven)
     if key in _seen:
         return _seen[key]
     best: tuple[str, list[tuple[int, int, str]]] = ("", [])
@@ -123,7 +125,7 @@ def utf8_spans(run: str, before: str, after: str) -> tuple[str, list[tuple[int,
             found = _sequences(run, name)
             if not found:
                 continue
-            strong = [_strong(run, s, name, before, after) for s in found]
+            strong = [_strong(run, s, name, before, after) or name == proven and s[2].isalpha() for s in found]
             kept: list[tuple[int, int, str]] = []
             k = 0
             while k < len(found):  # chains of touching sequences
@@ -143,12 +145,17 @@ def utf8_spans(run: str, before: str, after: str) -> tuple[str, list[tuple[int,
 
 
 _to_1252 = {c: bytes([b]).decode("cp1252", "replace") for c, b in PAGES["mac_roman"].items()}
+_to_mac = {c: bytes([b]).decode("mac_roman") for c, b in PAGES["cp1252"].items()}
 _cyr_1252 = {c: bytes([b]).decode("cp1252", "replace") for c, b in PAGES["cp1251"].items()}
 _mac_odd = "".join(c for c, x in _to_1252.items() if x.isalpha() and x.islower() and not c.islower() and c not in "·’‘–—…“”")
-MAC_INNER = re.compile(rf"[a-z][{re.escape(_mac_odd)}](?=[a-z])|[a-z]ﬂ(?=[a-z])")
+#: Latin letters around a sign that cannot stand inside a word.
+BEFORE, AFTER = "A-Za-zß-öø-ž", "a-zß-öø-ž"
+MAC_INNER = re.compile(rf"[{BEFORE}][{re.escape(_mac_odd)}ﬂ](?=[{AFTER}])|[A-Za-km-z]·(?=[{AFTER}])|(?<=[ {{~])[÷¡‹]\. (?=[A-Z])")
 MAC_QUOTED = re.compile(r"(?<!\w)ì(?=[A-Za-z])[^ìî\n]{0,400}[A-Za-z]î(?!\w)")
+WIN_INNER = re.compile(r"[a-z][ŽŠŒŸ•§](?=[a-z])|[a-z]Õ(?=[a-z])|(?<!\w)Ò(?=[A-Za-z])[^ÒÓ\n]{0,400}[A-Za-z]Ó(?!\w)|\d ?¡C")
+RIGHT_INNER = re.compile(r"[a-z][à-öø-ÿ][a-z]|[a-z]’[a-z]|“[A-Za-z]|[a-z]”|\d ?°C|\d–\d| — |\d €")
 MAC_ALONE = re.compile(r"\d ?∞C|(?<=[\w.,)] )ñ(?= \w)|\d Ä(?!\w)|(?<!\w)ë(?=[A-Za-z])[^ëí\n]{0,400}[A-Za-z]í(?!\w)")
-CYR_INNER = re.compile(r"(?<![\u0400-\u04ff])[A-Za-z]*[a-z][\u0400-\u04ff]{1,2}[a-z][a-z]*|(?<![\w])[A-Za-z]+[a-z][\u0400-\u04ff]{1,2}(?!\w)")
+CYR_INNER = re.compile(rf"[{BEFORE}][\u0400-\u04ff]{{1,2}}[{AFTER}]|(?<!\w)[A-Za-z]+[a-z][\u0400-\u04ff]{{1,2}}(?!\w)")
 LATIN_RUN = re.compile(r"(?<![A-Za-z])[À-ÿ]{4,}(?![A-Za-z])")
 KOI_WORD = re.compile(r"(?<![А-Яа-яЁё])[а-яё][А-ЯЁ]{2,}(?![А-Яа-яЁё])")
 CYR_UPPER = re.compile(r"[А-ЯЁ]{2,}")
@@ -190,15 +197,22 @@ def _single_byte(line: str) -> tuple[str, int, str]:
     if CYR_INNER.search(line):
         fixed, n = re.subn(r"[\u0400-\u04ff]", lambda m: _cyr_1252.get(m.group(), m.group()), line)
         return fixed, n, "cp1252>cp1251"
+    if WIN_INNER.search(line):
+        fixed, n = re.subn(r"[^\x00-\x7f]", lambda m: _to_mac.get(m.group(), m.group()), line)
+        return fixed, n, "mac_roman>cp1252"
     if MAC_INNER.search(line) or MAC_QUOTED.search(line) or MAC_ALONE.search(line):
         fixed, n = re.subn(r"[^\x00-\x7f]", lambda m: _to_1252.get(m.group(), m.group()), line)
         return fixed, n, "cp1252>mac_roman"
     return line, 0, ""
 
 
-def _utf8_pass(text: str, quoted: list[tuple[int, int]]) -> tuple[str, int, set[str]]:
+#: Sequences of one code page that prove it for the rest of a text.
+PROOF = 4
+
+
+def _utf8_pass(text: str, quoted: list[tuple[int, int]], proven: str = "") -> tuple[str, int, set[str]]:
     out, at, n, pages = [], 0, 0, set()
-    q = 0
+    q, by_page = 0, {}
     for m in FOREIGN.finditer(text):
         s, e = m.span()
         while q < len(quoted) and quoted[q][1] <= s:
@@ -206,7 +220,8 @@ def _utf8_pass(text: str, quoted: list[tuple[int, int]]) -> tuple[str, int, set[
         if q < len(quoted) and quoted[q][0] <= s:
             continue
         run = m.group()
-        name, found = utf8_spans(run, text[s - 1] if s else " ", text[e] if e < len(text) else " ")
+        name, found = utf8_spans(run, text[s - 1] if s else " ", text[e] if e < len(text) else " ", proven)
+        by_page[name] = by_page.get(name, 0) + len(found)
         for i, j, ch in found:
             out += [text[at : s + i], ch]
             at = s + j
@@ -214,6 +229,9 @@ def _utf8_pass(text: str, quoted: list[tuple[int, int]]) -> tuple[str, int, set[
             pages.add(f"utf_8>{name}")
     if not n:
         return text, 0, pages
+    top = max(by_page, key=by_page.get)
+    if not proven and by_page[top] >= PROOF:
+        return _utf8_pass(text, quoted, top)
     return "".join(out) + text[at:], n, pages
 
 
@@ -233,7 +251,7 @@ def restore(text: str | None) -> tuple[str | None, int, str]:
         pages |= used
         if not n:
             break
-    lines = text.split("\n")
+    lines, marked = text.split("\n"), {}
     for k, line in enumerate(lines):
         if line.isascii() or VERBATIM.search(line):
             continue
@@ -241,6 +259,14 @@ def restore(text: str | None) -> tuple[str | None, int, str]:
         if n:
             lines[k], total = fixed, total + n
             pages.add(used)
+            marked[k] = used
+    for used, page in (("cp1252>mac_roman", _to_1252), ("mac_roman>cp1252", _to_mac)):
+        # a whole text in the wrong page: the lines without proof too
+        if list(marked.values()).count(used) < 2 or any(RIGHT_INNER.search(x) for k, x in enumerate(lines) if k not in marked and not VERBATIM.search(x)):
+            continue
+        for k, line in enumerate(lines):
+            if k not in marked and not line.isascii() and not VERBATIM.search(line):
+                lines[k] = FOREIGN_ONE.sub(lambda m, page=page: page.get(m.group(), m.group()), line)
     text = "\n".join(lines)
     stray = len(C1.findall(VERBATIM.sub("", text)))
     return text, total + stray, ",".join(sorted(pages))
