@@ -124,11 +124,9 @@ def hierarchy_frame(pdf: pd.DataFrame, least: int, most: int) -> pd.DataFrame:
     """Edges to the nearest neighbours, fewer for the less important, both ways."""
     pdf = pdf.sort_values("rn").reset_index(drop=True)
     n = len(pdf)
-    if n < 2:
-        return pd.DataFrame({"compat_id": [], "parent_proto": [], "child_proto": [], "accum_distance": []}).astype({"compat_id": "int32"})
     m, v = np.stack(pdf["mean"]).astype(float), np.maximum(np.stack(pdf["variance"]).astype(float), LEAST_VARIANCE)
     rows = []
-    for i in range(n):
+    for i in range(n if n > 1 else 0):
         mid = (v[i] + v) / 2
         d = ((m[i] - m) ** 2 / mid).sum(1) / 8 + np.log(mid / np.sqrt(v[i] * v)).sum(1) / 2
         d[i] = np.inf
