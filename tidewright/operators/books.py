@@ -49,7 +49,7 @@ def with_deviation(panel: DataFrame, x: str) -> DataFrame:
 
 
 def clip_weights(w: Column, cap: float) -> Column:
-    return F.greatest(F.lit(-cap), F.least(F.lit(cap), w))
+    return F.when(w.isNotNull(), F.greatest(F.lit(-cap), F.least(F.lit(cap), w)))
 
 
 def saturate_weights(w: Column, c: float) -> Column:

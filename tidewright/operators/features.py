@@ -150,7 +150,7 @@ def causal_z(x: str, k: int = 32, least: int = 8) -> Column:
 
 def clamp_position(z: Column, saturation: float = 2.0) -> Column:
     """z / saturation within [-1, 1]; 0 where z is missing."""
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z / saturation)), F.lit(0.0))
+    return F.when(z.isNull(), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z / saturation)))
 
 
 FEATURES = {

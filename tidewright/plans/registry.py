@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.operators import backtest, books, consensus, features, forecast, hashing, indicators, inference, labels, learners, regular_grid, rolling_totals, series_queries, spikes, splits, vault
+from tidewright.operators import backtest, books, consensus, features, forecast, hashing, indicators, inference, labels, learners, memory, regular_grid, rolling_totals, series_queries, sleeves, spikes, splits, vault
 from tidewright.plans import evaluate
 from tidewright.streaming import queries as streaming
 
@@ -36,4 +36,6 @@ QUERIES = {
     **learners.QUERIES,
     **evaluate.QUERIES,
     **streaming.QUERIES,
+    **memory.QUERIES,
+    **sleeves.QUERIES,
 }
