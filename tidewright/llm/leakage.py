@@ -224,3 +224,12 @@ def p8_found(spark, sf_dir: str) -> DataFrame:
 def p8_passages(spark, sf_dir: str) -> DataFrame:
     """Every leaked passage with its place and length in words."""
     return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+P8_SQL = r"""
+with w as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '\\[A-Za-z]+', '', 'g')), '[a-z0-9]+') w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(regexp_replace(item_text, '\\[A-Za-z]+', '', 'g')), '[a-z0-9]+') w from eval_items where item_text is not null),
+g as (select distinct item_id, array_to_string(w[k:k + 11], ' ') gram from (select item_id, w, unnest(range(1, len(w) - 10)) k from i)),
+d as (select doc_id, array_to_string(w[k:k + 11], ' ') gram from (select doc_id, w, unnest(range(1, len(w) - 10)) k from w))
+select distinct doc_id, item_id from d join g using (gram)
+"""
