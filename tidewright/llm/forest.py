@@ -196,8 +196,13 @@ def similar_pairs(vectors: DataFrame, least: float, spec: ForestSpec = ForestSpe
     return pairs.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
 
 
-def _probe(rows: DataFrame, queries: DataFrame, k: int, spec: ForestSpec, parts: int) -> DataFrame:
-    """Of every query and range it was sent to, the ``k`` best of the range: ``(query, id, cosine)``."""
+#: Steps in which the cosine a query has reached travels in its key.
+COSINE_STEP = 1e-9
+
+
+def _probe(rows: DataFrame, queries: DataFrame, k: int, spec: ForestSpec, parts: int, reached: bool = False) -> DataFrame:
+    """Of every query and range it was sent to, the ``k`` best of the range: ``(query, id, cosine)``.
+    With ``reached`` a query's key holds its k-th cosine so far, and only what is no worse comes out."""
     both = rows.withColumn("is_query", F.lit(0)).unionByName(queries.withColumn("is_query", F.lit(1)))
     both = both.select("code", "range", "is_query", "key", "id", "vec").repartition(parts, "code", "range").sortWithinPartitions("code", "range", "is_query")
 
@@ -210,6 +215,7 @@ def _probe(rows: DataFrame, queries: DataFrame, k: int, spec: ForestSpec, parts:
             v = _vectors(g.column("vec"), g.column("code")[0].as_py() // spec.trees)
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
             have, want = np.flatnonzero(~asks), np.flatnonzero(asks)
+            least = g.column("key").to_numpy() * COSINE_STEP - 2 * COSINE_STEP if reached else np.full(len(asks), -1.5)
             for lo in range(0, len(want), 512):
                 q = want[lo : lo + 512]
                 cos = unit[q] @ unit[have].T
@@ -218,7 +224,7 @@ def _probe(rows: DataFrame, queries: DataFrame, k: int, spec: ForestSpec, parts:
                 best = np.argpartition(-cos, m - 1, axis=1)[:, :m]
                 rank = np.take_along_axis(cos, best, 1).ravel()
                 a, b = np.repeat(ids[q], m), ids[have][best.ravel()]
-                good = rank > -2
+                good = rank >= np.repeat(least[q], m)
                 yield pa.RecordBatch.from_arrays([pa.array(a[good], pa.string()), pa.array(b[good], pa.string()), pa.array(rank[good])], ["query", "id", "cosine"])
 
     return both.mapInArrow(run, "query string, id string, cosine double")
@@ -273,11 +279,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, miss: float = 0
                     if r != own or depth[i] == 0:
                         at.append(i)
                         to.append(r)
-            t = b.select(["code", "key", "id", "vec"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(to, pa.int32()), t.column(1), t.column(2), t.column(3)], ["code", "range", "key", "id", "vec"])
+            t = b.select(["code", "id", "vec"]).take(pa.array(at, pa.int64()))
+            kth_so_far = np.floor(np.where(c > -1, c, -1.2) / COSINE_STEP).astype(np.int64)[at]
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(to, pa.int32()), pa.array(kth_so_far), t.column(1), t.column(2)], ["code", "range", "key", "id", "vec"])
 
     more = asked.join(kth, F.col("id") == F.col("query"), "left").select("code", "range", "key", "id", "vec", "n", "c").mapInArrow(ascend, SCHEMA)
-    second = _probe(rows, more, k, spec, parts)
+    second = _probe(rows, more, k, spec, parts, reached=True)
     return _best(first.select("query", "id", "cosine").unionByName(second), k)
 
 
