@@ -68,6 +68,26 @@ def test_reality_checks_tell_edge_from_noise(spark):
     assert 2 in inference.model_confidence_set(-edge) and inference.diebold_mariano(-edge[:, 2], -edge[:, 0])["p"] < 0.05
 
 
+def test_subsampling_of_long_panels(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    panel = rng.normal(0, 1, (3200, 5))
+    panel[:, 2] += 0.2
+    panel[1000:2100, 4] = 0.0
+    t, tb = inference.subsample_statistics(panel, 800, 3)
+    for s in (0, 1100, 2400):
+        w = panel[s : s + 800]
+        e = np.array([inference.newey_west(w[:, j], 3) for j in range(5)])
+        want = np.where(e > 0, (w.mean(0) - panel.mean(0)) / np.sqrt(0.75) / np.where(e > 0, e, 1), 0.0)
+        assert np.allclose(tb[s], want, rtol=1e-9, atol=1e-12)
+    t2, tb2 = inference.subsample_statistics(panel, 800, 3, spark, slices=5)
+    assert np.array_equal(t, t2) and np.array_equal(tb, tb2) and len(tb) == 2401
+    monkeypatch.setattr(inference, "table", lambda *a: None)
+    monkeypatch.setattr(inference, "strategy_panel", lambda c: None)
+    monkeypatch.setattr(inference, "_matrix", lambda p: panel)
+    out = dict(map(tuple, inference.q_reality_check(spark, "").collect()))
+    assert out["subsampling_spa"] < 0.05 and out["subsampling_kfwer"] >= 1 and out["subsampling_fdp"] >= 1
+
+
 def test_clusters():
     rng = np.random.default_rng(5)
     a = [rng.normal(0.5, 1, 30) for _ in range(12)]

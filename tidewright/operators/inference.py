@@ -181,18 +181,39 @@ def step_m(panel: np.ndarray, boot: np.ndarray, alpha: float = 0.05) -> list[int
     return step_down(t, (boot - panel.mean(0)) / np.where(omega > 0, omega, np.inf), alpha)
 
 
-def subsample_statistics(panel: np.ndarray, window: int, bandwidth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Studentised means of the whole and of every window, recentred: no random numbers."""
+def window_statistics(panel: np.ndarray, window: int, bandwidth: int, starts: np.ndarray) -> np.ndarray:
+    """Of the windows that begin at ``starts`` the studentised means, recentred by the whole's. Sums
+    are taken anew in every window: running sums would carry one wild day's rounding into all others."""
+    n, mean = len(panel), panel.mean(0)
+    shrink, lags = math.sqrt(1 - window / n), range(1, min(bandwidth, window - 1) + 1)
+    out = np.zeros((len(starts), panel.shape[1]))
+    for row, s in zip(out, starts, strict=True):
+        w = panel[s : s + window]
+        m = w.mean(0)
+        d = w - m
+        v = (d * d).sum(0) / window + 2 * sum((1 - k / (bandwidth + 1)) * (d[:-k] * d[k:]).sum(0) / window for k in lags)
+        e = np.sqrt(np.maximum(v, 0.0) / window)
+        row[:] = np.where(e > 0, (m - mean) / shrink / np.where(e > 0, e, 1), 0.0)
+    return out
+
+
+def subsample_statistics(panel: np.ndarray, window: int, bandwidth: int, spark: SparkSession | None = None, slices: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Studentised means of the whole and of every window, recentred: no random numbers. With
+    ``spark`` the windows are spread over tasks by their start, at any length of the panel."""
     n, mean = len(panel), panel.mean(0)
     se = np.array([newey_west(panel[:, j], bandwidth) for j in range(panel.shape[1])])
     t = np.where(se > 0, mean / np.where(se > 0, se, 1), 0.0)
-    shrink = math.sqrt(1 - window / n)
-    tb = []
-    for s in range(n - window + 1):
-        w = panel[s : s + window]
-        e = np.array([newey_west(w[:, j], bandwidth) for j in range(w.shape[1])])
-        tb.append(np.where(e > 0, (w.mean(0) - mean) / shrink / np.where(e > 0, e, 1), 0.0))
-    return t, np.array(tb)
+    if spark is None:
+        return t, window_statistics(panel, window, bandwidth, np.arange(n - window + 1))
+    if panel.size > PANEL_CELLS:
+        raise ValueError("the panel is too large to be sent whole; aggregate it to longer periods")
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"id": f["id"], "tb": list(window_statistics(panel, window, bandwidth, f["id"].to_numpy()))})
+
+    rows = spark.range(0, n - window + 1, 1, slices).mapInPandas(run, "id bigint, tb array<double>").toPandas().sort_values("id")
+    return t, np.stack(rows["tb"])
 
 
 def subsampling_spa(panel: np.ndarray, window: int, bandwidth: int = 3) -> float:
@@ -350,7 +371,7 @@ def q_reality_check(spark, sf_dir):
     """White, Hansen, step-down, subsampling and overfitting verdicts on the signals."""
     p = _matrix(strategy_panel(table(spark, sf_dir, "candles")))
     boot = replicates(spark, p, 400)
-    t, tb = subsample_statistics(p, max(6, len(p) // 4), 3) if len(p) <= 3000 else (np.zeros(1), np.zeros((1, 1)))
+    t, tb = subsample_statistics(p, max(6, len(p) // 4), 3, spark)
     rows = [("white", white_reality_check(p, boot)), ("spa", hansen_spa(p, boot)), ("spa_consistent", hansen_spa(p, boot, True)), ("stepm_rejections", float(len(step_m(p, boot)))),
             ("subsampling_spa", float((tb.max(1) >= t.max()).mean())), ("subsampling_kfwer", float(len(step_down(t, tb, k=2)))), ("subsampling_fdp", float(len(subsampling_fdp(t, tb)))), ("pbo", overfitting_probability(p)["pbo"])]
     return spark.createDataFrame([(a, round(b, 6)) for a, b in rows], "test string, value double")
