@@ -134,6 +134,22 @@ def test_hashing_rules(spark):
     assert hashing.aligned_planes(np.diag([4.0, 2.0, 1.0]), 2, 2).shape == (2, 2, 3)
 
 
+@pytest.mark.parametrize("spread", [None, 0.5, 0.15])
+def test_bucket_neighbours_recall(spark, spread):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64))
+    if spread is not None:
+        x = rng.normal(size=(60, 64))[np.arange(1500) % 60] + spread * x
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in hashing.nearest_by_buckets(df).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r["id"]
+    assert sorted(got) == list(range(0, 1500, 100)) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
+    want = {q: [i for i in np.argsort(-(u @ u[q]), kind="stable") if i != q][:5] for q in got}
+    assert sum(len(set(want[q]) & set(got[q].values())) for q in got) >= 0.9 * 5 * len(got)
+
+
 def test_vault_rules(spark):
     df = spark.createDataFrame([([1.0, 2.0], [0.5, 0.5], [1.0, 2.0], [0.5, 0.5]), ([1.0], [1.0], [1.0, 2.0], [1.0, 1.0])], "a array<double>, p array<double>, b array<double>, q array<double>")
     d = [r[0] for r in df.select(vault.gaussian_distance(*[F.col(c) for c in "apbq"])).collect()]

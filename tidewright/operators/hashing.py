@@ -118,22 +118,85 @@ def apply_flips(word: int, bits: tuple[int, ...]) -> int:
     return word
 
 
+def widened_keys(word: Column, margins: Column, depth: Column) -> Column:
+    """All words that agree with ``word`` in its ``depth`` most certain bits."""
+    free = F.slice(margin_order(margins), F.lit(1), F.size(margins) - depth)
+    turned = lambda acc, i: F.concat(acc, F.transform(acc, lambda x: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))))
+    return F.aggregate(free, F.array(word), turned)
+
+
+def shared_buckets(words: DataFrame, queries: DataFrame, keys: Column) -> DataFrame:
+    """``(query, id, tables)``: ids in one of the buckets ``keys`` of a query, and in how many tables."""
+    probes = queries.select(F.col("id").alias("query"), "table", F.explode(keys).alias("word"))
+    return probes.join(words.select("table", "word", "id"), ["table", "word"]).groupBy("query", "id").agg(F.countDistinct("table").alias("tables"))
+
+
 def candidates(words: DataFrame, queries: DataFrame, budget: int = 3) -> DataFrame:
     """``(query, id, tables)``: ids that share a probed bucket with a query, and in how many tables."""
-    probes = queries.select(F.col("id").alias("query"), "table", F.explode(single_bit_keys(F.col("word"), F.col("margins"), budget)).alias("word"))
-    return probes.join(words.select("table", "word", "id"), ["table", "word"]).groupBy("query", "id").agg(F.countDistinct("table").alias("tables"))
+    return shared_buckets(words, queries, single_bit_keys(F.col("word"), F.col("margins"), budget))
 
 
-def nearest_by_buckets(vectors: DataFrame, k: int = 5, budget: int = 3) -> DataFrame:
-    """For the vectors whose id is divisible by 100 the ``k`` most similar found in their buckets."""
+def needed_depth(kth: Column, miss: float, tables: int = TABLES, bits: int = BITS) -> Column:
+    """How many bits may be asked for so that a vector of cosine ``kth`` agrees with a query in them
+    in one of the tables with chance ``1 - miss``."""
+    keep = 1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), kth))) / math.pi
+    depth = F.floor(math.log(1 - miss ** (1 / tables)) / F.log(keep))
+    return F.when(keep >= 1, bits).when(keep <= 0, 0).otherwise(F.least(F.lit(bits), depth)).cast("int")
+
+
+def scanned(vectors: DataFrame, queries: DataFrame, k: int, tile: int = 20_000) -> DataFrame:
+    """``(query, id)``: each query of ``(query, qv)`` against all of ``(id, v)`` in tiles, the ``k`` best of each."""
+    cols, rows = max(1, -(-vectors.count() // tile)), max(1, -(-queries.count() // tile))
+    v = vectors.withColumns({"c": F.pmod(F.hash("id"), F.lit(cols)), "r": F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))})
+    q = queries.withColumns({"r": F.pmod(F.hash("query"), F.lit(rows)), "c": F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))})
+
+    def meet(a, b):
+        import pandas as pd
+
+        b = b.sort_values("id")
+        ids, out = b["id"].to_numpy(), [pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64)})]
+        if len(a) and len(b):
+            x, y = (np.stack(z).astype(np.float64) for z in (a["qv"], b["v"]))
+            x, y = (z / np.where((n := np.linalg.norm(z, axis=1, keepdims=True)) > 0, n, 1) for z in (x, y))
+            for lo in range(0, len(a), 512):
+                asks = a["query"].to_numpy()[lo : lo + 512]
+                cos = np.round(x[lo : lo + 512] @ y.T, 6)
+                cos[asks[:, None] == ids[None, :]] = -2
+                best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"query": np.repeat(asks, best.shape[1]), "id": ids[best.ravel()]}))
+        return pd.concat(out)
+
+    return q.groupBy("c", "r").cogroup(v.groupBy("c", "r")).applyInPandas(meet, "query bigint, id bigint").where("query <> id")
+
+
+def nearest_by_buckets(vectors: DataFrame, k: int = 5, budget: int = 3, miss: float = 0.02) -> DataFrame:
+    """For the vectors whose id is divisible by 100 the ``k`` most similar.
+
+    First the buckets of the word and of its ``budget`` least certain bits. The k-th cosine then
+    tells in how many bits such a neighbour agrees in one of the tables with chance ``1 - miss``;
+    a query that asked for more meets all buckets that agree in that many of its most certain
+    bits, and where these would hold as much as the whole, every vector once. ``tables`` counts
+    the tables of a shared bucket: 0 for what only the whole search found."""
     p = planes(64)
     words = cut(sign_words(vectors, "vec_id", "embedding", p))
-    found = candidates(words, words.where("id % 100 = 0"), budget).where("query <> id")
-    a = vectors.select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    b = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    scored = found.join(b, "id").join(a, "query").withColumn("cosine", F.round(cosine(F.col("qv"), F.col("v")), 6))
-    w = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", "cosine", "rank", "tables")
+    asked = words.where("id % 100 = 0")
+    fit = vectors.where(F.size("embedding") == 64)
+    a = fit.select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
+    b = fit.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+    def best(found):
+        once = found.where("query <> id").groupBy("query", "id").agg(F.max("tables").alias("tables"))
+        scored = once.join(b, "id").join(a, "query").withColumn("cosine", F.round(cosine(F.col("qv"), F.col("v")), 6))
+        w = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "id")
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", "cosine", "rank", "tables")
+
+    first = cut(best(candidates(words, asked, budget)))
+    kth = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("cosine")).otherwise(-1.0).alias("kth"))
+    wider = cut(asked.join(kth.withColumnRenamed("query", "_q"), F.col("id") == F.col("_q"), "left").withColumn("depth", needed_depth(F.coalesce("kth", F.lit(-1.0)), miss)).drop("_q", "kth"))
+    whole = int(math.log2(TABLES))  # all tables at this depth hold as much as one scan
+    some = shared_buckets(words, wider.where(f"depth > {whole} and depth < {BITS}"), widened_keys(F.col("word"), F.col("margins"), F.col("depth")))
+    rest = scanned(b, cut(wider.where(f"depth <= {whole}").select(F.col("id").alias("query")).distinct().join(a, "query")), k)
+    return best(first.select("query", "id", "tables").unionByName(some).unionByName(rest.withColumn("tables", F.lit(0).cast("bigint"))))
 
 
 # reliability ------------------------------------------------------------------------------------
