@@ -51,10 +51,15 @@ def distinct_protos(protos: DataFrame) -> DataFrame:
     return protos.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
+def ranked_per_compat(protos: DataFrame) -> DataFrame:
+    """Adds ``rn``, the place by importance within the compat_id."""
+    w = Window.partitionBy("compat_id").orderBy(F.col("importance").desc_nulls_last(), F.col("access_count").desc_nulls_last(), F.col("last_accessed").desc_nulls_last(), "proto_id")
+    return protos.withColumn("rn", F.row_number().over(w))
+
+
 def top_per_compat(protos: DataFrame, n: int) -> DataFrame:
     """The ``n`` most important of each compat_id; Spark keeps n rows a partition before the shuffle."""
-    w = Window.partitionBy("compat_id").orderBy(F.col("importance").desc_nulls_last(), F.col("access_count").desc_nulls_last(), F.col("last_accessed").desc_nulls_last(), "proto_id")
-    return protos.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    return ranked_per_compat(protos).where(F.col("rn") <= n)
 
 
 def globally_ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -108,12 +113,15 @@ def merge_frame(pdf: pd.DataFrame, threshold: float, now: int) -> pd.DataFrame:
     return out
 
 
-def merged(protos: DataFrame, threshold: float = 0.5, now: int = 4000, most: int = 200) -> DataFrame:
-    """Consolidation of the ``most`` most important prototypes of every compat_id. The order makes
-    it sequential, and the cap, part of the operation, bounds a group."""
-    rows = top_per_compat(decayed(distinct_protos(protos.where("variance is not null and importance is not null and last_accessed is not null")), now), most)
-    rows = rows.select("proto_id", "compat_id", "mean", "variance", "size", "importance", "merged_count")
-    return rows.groupBy("compat_id").applyInPandas(lambda pdf: merge_frame(pdf, threshold, now), "proto_id string, compat_id int, size double, merged_count int, changed boolean")
+def merged(protos: DataFrame, threshold: float = 0.5, now: int = 4000, most: int = 1000) -> DataFrame:
+    """Consolidation of the ``most`` most important prototypes of every compat_id, chosen before they
+    decay; those beyond come out as they are stored. The order makes it sequential, and the cap,
+    part of the operation (volatileConsolidationLimit), bounds a group."""
+    usable = distinct_protos(protos.where("variance is not null and importance is not null and last_accessed is not null"))
+    rows = cut(ranked_per_compat(usable).select("proto_id", "compat_id", "mean", "variance", "size", "access_count", "importance", "last_accessed", "merged_count", "rn"))
+    top = decayed(rows.where(F.col("rn") <= most), now).select("proto_id", "compat_id", "mean", "variance", "size", "importance", "merged_count")
+    done = top.groupBy("compat_id").applyInPandas(lambda pdf: merge_frame(pdf, threshold, now), "proto_id string, compat_id int, size double, merged_count int, changed boolean")
+    return done.unionByName(rows.where(F.col("rn") > most).select("proto_id", "compat_id", "size", "merged_count", F.lit(False).alias("changed")))
 
 
 def promotions(protos: DataFrame, least: int = 5) -> DataFrame:
