@@ -133,19 +133,21 @@ def hierarchy_frame(pdf: pd.DataFrame, least: int, most: int) -> pd.DataFrame:
     pdf = pdf.sort_values("rn").reset_index(drop=True)
     n = len(pdf)
     m, v = np.stack(pdf["mean"]).astype(float), np.maximum(np.stack(pdf["variance"]).astype(float), LEAST_VARIANCE)
-    rows = []
+    ids, rows = pdf["proto_id"].to_numpy(), []
     for i in range(n if n > 1 else 0):
         mid = (v[i] + v) / 2
         d = ((m[i] - m) ** 2 / mid).sum(1) / 8 + np.log(mid / np.sqrt(v[i] * v)).sum(1) / 2
         d[i] = np.inf
-        k = min(max(1, round(least + (most - least) * (1 - i / (n - 1)))), n - 1)
+        k = min(max(1, int(np.floor(least + (most - least) * (1 - i / (n - 1)) + 0.5))), n - 1)  # halves go up
         for j in np.argsort(d, kind="stable")[:k]:
-            rows += [(pdf["proto_id"][i], pdf["proto_id"][j], d[j]), (pdf["proto_id"][j], pdf["proto_id"][i], d[j])]
+            rows += [(ids[i], ids[j], d[j]), (ids[j], ids[i], d[j])]
     out = pd.DataFrame(rows, columns=["parent_proto", "child_proto", "accum_distance"]).drop_duplicates(["parent_proto", "child_proto"])
     return out.assign(compat_id=pdf["compat_id"].iloc[0])
 
 
-def hierarchy(protos: DataFrame, keep: int = 64, least: int = 2, most: int = 6) -> DataFrame:
+def hierarchy(protos: DataFrame, keep: int = 250, least: int = 4, most: int = 16) -> DataFrame:
+    """Edges among the ``keep`` most important of every compat_id, as stored; the defaults are the
+    reference's maxHierarchyProtos, volatileMinNeighbors and volatileMaxNeighbors."""
     rows = top_per_compat(distinct_protos(protos.where("variance is not null and importance is not null")), keep).select("proto_id", "compat_id", "mean", "variance", "rn")
     return rows.groupBy("compat_id").applyInPandas(lambda pdf: hierarchy_frame(pdf, least, most), "parent_proto string, child_proto string, accum_distance double, compat_id int")
 
@@ -242,6 +244,12 @@ def q_reachable(spark, sf_dir):
     return reachable(table(spark, sf_dir, "proto_edges").where("polarity = 'positive'"), seeds, 2).withColumn("distance", F.round("distance", 6))
 
 
+def q_traversal(spark, sf_dir):
+    """As ``q_reachable``, whose SQL twin ends at two edges, but to the reference's hierarchyTraversalDepth of five."""
+    seeds = top_per_compat(_pos(spark, sf_dir).where("importance is not null"), 1).select(F.col("proto_id").alias("seed"))
+    return reachable(table(spark, sf_dir, "proto_edges").where("polarity = 'positive'"), seeds, 5).withColumn("distance", F.round("distance", 6))
+
+
 def q_merged(spark, sf_dir):
     return merged(table(spark, sf_dir, "volatile_positive")).withColumn("size", F.round("size", 6))
 
@@ -288,6 +296,6 @@ select c.polarity, compatibility, c.compat_id, count(v.proto_id) as protos, roun
 
 QUERIES = {
     "vault_decay": (q_decay, DECAY_SQL), "vault_content_hash": (q_hash, HASH_SQL), "vault_top": (q_top, TOP_SQL), "vault_purge": (q_purge, PURGE_SQL), "vault_edges": (q_edges, EDGES_SQL),
-    "vault_edge_distance": (q_edge_distance, DIST_SQL), "vault_dangling_edges": (q_dangling, DANGLING_SQL), "vault_reachable": (q_reachable, REACH_SQL), "vault_merged": (q_merged, None),
+    "vault_edge_distance": (q_edge_distance, DIST_SQL), "vault_dangling_edges": (q_dangling, DANGLING_SQL), "vault_reachable": (q_reachable, REACH_SQL), "vault_traversal": (q_traversal, None), "vault_merged": (q_merged, None),
     "vault_hierarchy": (q_hierarchy, None), "vault_compat": (q_compat, COMPAT_SQL),
 }
