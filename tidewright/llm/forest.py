@@ -201,7 +201,8 @@ COSINE_STEP = 1e-9
 
 
 def _probe(rows: DataFrame, queries: DataFrame, k: int, spec: ForestSpec, parts: int, reached: bool = False) -> DataFrame:
-    """Of every query and range it was sent to, the ``k`` best of the range: ``(query, id, cosine)``.
+    """Of every query and range it was sent to, the ``k`` best ids of the range by rounded cosine, ties
+    to the smaller id: ``(query, id, cosine)``.
     With ``reached`` a query's key holds its k-th cosine so far, and only what is no worse comes out."""
     both = rows.withColumn("is_query", F.lit(0)).unionByName(queries.withColumn("is_query", F.lit(1)))
     both = both.select("code", "range", "is_query", "key", "id", "vec").repartition(parts, "code", "range").sortWithinPartitions("code", "range", "is_query")
@@ -215,17 +216,27 @@ def _probe(rows: DataFrame, queries: DataFrame, k: int, spec: ForestSpec, parts:
             v = _vectors(g.column("vec"), g.column("code")[0].as_py() // spec.trees)
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
             have, want = np.flatnonzero(~asks), np.flatnonzero(asks)
+            have = have[np.argsort(ids[have], kind="stable")]
+            own = ids[have]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))  # copies of one id, read in different tasks, lie together
+            name = own[first]
             least = g.column("key").to_numpy() * COSINE_STEP - 2 * COSINE_STEP if reached else np.full(len(asks), -1.5)
             for lo in range(0, len(want), 512):
                 q = want[lo : lo + 512]
                 cos = unit[q] @ unit[have].T
-                cos[ids[q][:, None] == ids[have][None, :]] = -2
-                m = min(k, len(have))
-                best = np.argpartition(-cos, m - 1, axis=1)[:, :m]
-                rank = np.take_along_axis(cos, best, 1).ravel()
-                a, b = np.repeat(ids[q], m), ids[have][best.ravel()]
-                good = rank >= np.repeat(least[q], m)
-                yield pa.RecordBatch.from_arrays([pa.array(a[good], pa.string()), pa.array(b[good], pa.string()), pa.array(rank[good])], ["query", "id", "cosine"])
+                if len(first) < len(have):
+                    cos = np.maximum.reduceat(cos, first, axis=1)
+                cos = np.round(cos, 9)
+                at = np.searchsorted(name, ids[q])
+                at[at == len(name)] = 0
+                self_ = np.flatnonzero(name[at] == ids[q])
+                cos[self_, at[self_]] = -2
+                m = min(k, len(name))
+                kth = -np.partition(-cos, m - 1, axis=1)[:, m - 1 : m]
+                more, ties = cos > kth, cos == kth
+                take = more | (ties & (ties.cumsum(1) <= m - more.sum(1, keepdims=True)))  # ties by id, as in _best
+                a, b = np.nonzero(take & (cos >= least[q][:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q][a], pa.string()), pa.array(name[b], pa.string()), pa.array(cos[a, b])], ["query", "id", "cosine"])
 
     return both.mapInArrow(run, "query string, id string, cosine double")
 
