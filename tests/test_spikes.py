@@ -19,7 +19,7 @@ def stuck_by_hand(rows, least=5):
             by = {}
             for r in mine:
                 v = r[3 + f]
-                if v is not None and not (name == "volume" and v == 0):
+                if v is not None and r[6] != 0:
                     by.setdefault(v, set()).add(place[r[2]])
             for v, bars in by.items():
                 run = []
@@ -61,6 +61,29 @@ def test_every_rule_fires_and_nulls_do_not(spark):
     assert not any(r["row_id"] == 80 for r in found)
 
 
+def test_fitted_cutoffs_decide_below_the_ceiling(spark):
+    rows = walk(2000, levels=None)
+    spread = float(np.median([r[4] - r[5] for r in rows]))
+    for k in (300, 900, 1500):  # a wick of nine medians: under the ceiling of twelve
+        o, c = rows[k][3], rows[k][6]
+        rows[k] = (*rows[k][:4], max(o, c) + 9 * spread, *rows[k][5:])
+    df = candles(spark, rows)
+    by_risk = {risk: {(r["row_id"], r["field"]) for r in implausible_readings(df, SpikeRules(risk=risk)).collect() if r["kind"] == "spike"} for risk in (1e-2, 1e-4, 1e-30)}
+    assert {(300, "high"), (900, "high"), (1500, "high")} <= by_risk[1e-4] < by_risk[1e-2]
+    assert not {(300, "high"), (900, "high"), (1500, "high")} & by_risk[1e-30]
+    assert len(by_risk[1e-4]) < 10
+
+
+def test_a_stretch_of_zero_volume_is_quiet_in_every_field(spark):
+    rows = walk(60)
+    for k in range(20, 27):  # quiet: the price stands still, nothing is traded
+        rows[k] = (*rows[k][:3], 100.0, 100.0, 100.0, 100.0, 0.0)
+    for k in range(40, 47):  # stuck: the price stands still under trade
+        rows[k] = (*rows[k][:3], 100.0, 100.0, 100.0, 100.0, 10.0 + k)
+    stuck = {(r["row_id"], r["field"]) for r in implausible_readings(candles(spark, rows)).collect() if r["kind"] == "stuck"}
+    assert stuck == {(k, c) for k in range(40, 47) for c in ("open", "high", "low")}
+
+
 def test_zero_volume_is_quiet_and_empty_is_empty(spark):
     rows = [(*r[:7], 0.0) for r in walk(40)]
     assert not [r for r in implausible_readings(candles(spark, rows)).collect() if r["kind"] == "stuck"]

@@ -17,6 +17,30 @@ def log_cell(x: Column) -> Column:
     return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("bigint"))
 
 
+def middle_cells(hist: DataFrame) -> DataFrame:
+    """The cells of a histogram ``(k, m, cell, n)`` that hold the middle ranks of each (k, m):
+    ``(hk, hm, hc, below, lo, hi)`` with the count below the cell and the two middle ranks."""
+    by_cell = Window.partitionBy("k", "m").orderBy("cell")
+    return (
+        hist.withColumn("upto", F.sum("n").over(by_cell.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("total", F.sum("n").over(Window.partitionBy("k", "m")))
+        .withColumn("lo", F.expr("(total - 1) div 2")).withColumn("hi", F.expr("total div 2"))
+        .where((F.col("upto") > F.col("lo")) & (F.col("upto") - F.col("n") <= F.col("hi")))
+        .select(F.col("k").alias("hk"), F.col("m").alias("hm"), F.col("cell").alias("hc"), (F.col("upto") - F.col("n")).alias("below"), "lo", "hi")
+    )
+
+
+def middle_values(values: DataFrame, names: list[str], upper: bool = False) -> DataFrame:
+    """``(k, names...)``: the medians, from the counted values ``(k, m, x, n, below, lo, hi)`` of the middle cells."""
+    by_value = Window.partitionBy("k", "m").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("upto", F.sum("n").over(by_value) + F.min("below").over(Window.partitionBy("k", "m")))
+
+    def at(i: int, rank: str) -> Column:
+        return F.min(F.when((F.col("m") == i) & (F.col("upto") > F.col(rank)), F.col("x")))
+
+    return ranked.groupBy("k").agg(*[(at(i, "hi") if upper else (at(i, "lo") + at(i, "hi")) / 2).alias(n) for i, n in enumerate(names)])
+
+
 def exact_medians(df: DataFrame, key: str, values: dict[str, Column], upper: bool = False) -> DataFrame:
     """One row per ``key`` with the exact median of every expression in ``values``.
 
@@ -35,25 +59,8 @@ def exact_medians(df: DataFrame, key: str, values: dict[str, Column], upper: boo
         F.inline(F.array(*[F.struct(F.lit(i).alias("m"), values[n].cast("double").alias("x")) for i, n in enumerate(names)])),
     ).where(F.col("x").isNotNull() & ~F.isnan("x"))
     long = long.withColumn("cell", log_cell(F.col("x")))
-    by_cell = Window.partitionBy("k", "m").orderBy("cell")
-    hist = (
-        long.groupBy("k", "m", "cell").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(by_cell.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("total", F.sum("n").over(Window.partitionBy("k", "m")))
-        .withColumn("lo", F.expr("(total - 1) div 2")).withColumn("hi", F.expr("total div 2"))
-        .where((F.col("upto") > F.col("lo")) & (F.col("upto") - F.col("n") <= F.col("hi")))
-        .select(F.col("k").alias("hk"), F.col("m").alias("hm"), F.col("cell").alias("hc"), (F.col("upto") - F.col("n")).alias("below"), "lo", "hi")
-    )
-    hit = cut(hist)
+    hit = cut(middle_cells(long.groupBy("k", "m", "cell").agg(F.count(F.lit(1)).alias("n"))))
     same = F.col("k").eqNullSafe(F.col("hk")) & (F.col("m") == F.col("hm")) & (F.col("cell") == F.col("hc"))
     inside = join_small(long, hit, same)
-    by_value = Window.partitionBy("k", "m").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        inside.groupBy("k", "m", "x").agg(F.count(F.lit(1)).alias("n"), F.min("below").alias("below"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
-        .withColumn("upto", F.sum("n").over(by_value) + F.min("below").over(Window.partitionBy("k", "m")))
-    )
-    def at(i: int, rank: str) -> Column:
-        return F.min(F.when((F.col("m") == i) & (F.col("upto") > F.col(rank)), F.col("x")))
-
-    mid = ranked.groupBy("k").agg(*[(at(i, "hi") if upper else (at(i, "lo") + at(i, "hi")) / 2).alias(n) for i, n in enumerate(names)])
-    return mid.withColumnRenamed("k", key)
+    counted = inside.groupBy("k", "m", "x").agg(F.count(F.lit(1)).alias("n"), F.min("below").alias("below"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    return middle_values(counted, names, upper).withColumnRenamed("k", key)

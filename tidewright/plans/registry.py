@@ -8,6 +8,7 @@ from tidewright.streaming import queries as streaming
 
 QUERIES = {
     "p1_found": (spikes.p1_found, spikes.P1_SQL),
+    "p1_flags": (spikes.p1_flags, None),
     "p2_rolling_totals": (rolling_totals.p2_rolling_totals, rolling_totals.P2_SQL),
     "p3_found": (regular_grid.p3_found, regular_grid.P3_FOUND_SQL),
     "p3_grid": (regular_grid.p3_grid, regular_grid.P3_GRID_SQL),
