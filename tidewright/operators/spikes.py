@@ -95,7 +95,7 @@ def _histograms(rows: DataFrame) -> DataFrame:
         entry(3, _slot(), log_cell(volume) - 1_000_000, volume > 0),
         entry(4, F.shiftright("us", 40), none, F.col("us") >= FIRST_US, F.col("us")),
     ]
-    long = rows.select(F.col("stream").alias("k"), F.inline(F.array_compact(F.array(*parts))))
+    long = rows.select(F.col("stream").alias("k"), F.inline(F.array(*parts))).where("m is not null")
     return long.groupBy("k", "m", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("logs").alias("logs"), F.min("us").alias("a"), F.max("us").alias("z"))
 
 
@@ -117,7 +117,7 @@ def _chunked(rows: DataFrame) -> DataFrame:
 
 
 def _held(rows: DataFrame, kept: list[str]) -> DataFrame:
-    """Rows of ``_chunked`` that may belong to a stuck stretch, or have something in ``flags``: with
+    """Rows of ``_chunked`` that may belong to a stuck stretch, or have ``flags``: with
     ``bar``, ``first_bar``, ``last_bar`` and in ``f_...`` the fields' values where the neighbouring
     bars may hold them too.
 
@@ -139,7 +139,7 @@ def _held(rows: DataFrame, kept: list[str]) -> DataFrame:
     rows = rows.withColumns({f"f_{c}": F.when(timed & near(c), F.col(f"f_{c}")) for c in STUCK_FIELDS})
     some = F.coalesce(*[F.col(f"f_{c}") for c in STUCK_FIELDS]).isNotNull() | (timed & (F.col("first_bar") | F.col("last_bar")))
     if "flags" in kept:
-        some = some | (F.size("flags") > 0)
+        some = some | F.col("flags").isNotNull()
     return rows.where(some).select("row_id", "stream", "chunk", "bar", "first_bar", "last_bar", *[f"f_{c}" for c in STUCK_FIELDS], *kept)
 
 
@@ -229,7 +229,7 @@ def profiles(rows: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     ``range_median``, ``volume_median`` and the fitted cutoffs ``z_...`` as residuals."""
     first = cut(_histograms(rows))
     middle = middle_cells(first.where("m < 2").select("k", "m", "cell", "n"))
-    middle = middle.groupBy("hk").agg(F.collect_list(F.struct("hm", "hc", "below", "lo", "hi")).alias("middle"))
+    middle = middle.groupBy("hk").agg(F.collect_list(F.struct("hm", "hc", "below", "lo", "hi")).alias("middle"), F.collect_list(F.col("hc") * 2 + F.col("hm")).alias("codes"))
     hours = first.where("m in (2, 3)").groupBy("k").agg(*[
         F.array(*[F.max(F.when((F.col("m") == m) & (F.col("cell") == h), F.col("logs") / F.col("n") / CELLS_PER_OCTAVE)) for h in range(1, 26)]).alias(c)
         for m, c in ((2, "price_level"), (3, "volume_level"))
@@ -237,22 +237,22 @@ def profiles(rows: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     keys = first.select(F.col("k").alias("s")).distinct()
     widths = _widths(first.where("m = 4"), rules).withColumnRenamed("s", "ws")
     start = keys.join(widths, F.col("s").eqNullSafe(F.col("ws")), "left").join(middle, F.col("s").eqNullSafe(F.col("hk")), "left")
-    start = cut(start.join(hours, F.col("s").eqNullSafe(F.col("k")), "left").select("s", "width", "middle", "price_level", "volume_level"))
-    known = join_small(rows, start, F.col("stream").eqNullSafe(F.col("s")), row_bytes=PROFILE_BYTES)
+    start = cut(start.join(hours, F.col("s").eqNullSafe(F.col("k")), "left").select("s", "width", "middle", "codes", "price_level", "volume_level"))
+    known = join_small(rows, start.drop("middle"), F.col("stream").eqNullSafe(F.col("s")), row_bytes=PROFILE_BYTES)
     none = F.lit(None).cast("double")
     parts = []
     for m, x in ((0, F.col("high") - F.col("low")), (1, F.col("volume"))):
-        hit = F.array_contains(F.transform("middle", lambda c: c["hc"] * 2 + c["hm"]), log_cell(x) * 2 + m)
+        hit = F.array_contains("codes", log_cell(x) * 2 + m)
         parts.append(F.when(x.isNotNull() & hit, F.struct(F.lit(m).alias("m"), log_cell(x).alias("cell"), x.alias("x"))))
     for i, (m, x) in enumerate(_measures().items()):
         cell = _residual_cell(x, F.element_at("volume_level" if m == "volume" else "price_level", _slot()))
         parts.append(F.when(cell.isNotNull(), F.struct(F.lit(2 + i).alias("m"), cell.alias("cell"), none.alias("x"))))
-    second = known.select(F.col("stream").alias("k"), F.inline(F.array_compact(F.array(*parts)))).groupBy("k", "m", "cell", "x").agg(F.count(F.lit(1)).alias("n"))
+    second = known.select(F.col("stream").alias("k"), F.inline(F.array(*parts))).where("m is not null").groupBy("k", "m", "cell", "x").agg(F.count(F.lit(1)).alias("n"))
     second = cut(second)
     counted = second.where("m < 2").join(start.select("s", F.inline("middle")), F.col("k").eqNullSafe(F.col("s")) & (F.col("m") == F.col("hm")) & (F.col("cell") == F.col("hc")))
     medians = middle_values(counted.select("k", "m", "x", "n", "below", "lo", "hi"), ["range_median", "volume_median"]).withColumnRenamed("k", "ms")
     tails = _tails(second.where("m >= 2").select("k", (F.col("m") - 2).alias("m"), "cell", "n"), rules)
-    out = start.drop("middle").join(medians, F.col("s").eqNullSafe(F.col("ms")), "left").join(tails, F.col("s").eqNullSafe(F.col("zs")), "left")
+    out = start.drop("middle", "codes").join(medians, F.col("s").eqNullSafe(F.col("ms")), "left").join(tails, F.col("s").eqNullSafe(F.col("zs")), "left")
     return cut(out.drop("ms", "zs"))
 
 
@@ -276,10 +276,10 @@ def implausible_readings(candles: DataFrame, rules: SpikeRules = SpikeRules()) -
         cutoff = F.least(F.col(f"z_{m}") * level, mid * (rules.volume_ceiling if m == "volume" else rules.range_ceiling))
         flags.append(F.when(x > cutoff, F.struct(F.lit(m).alias("field"), F.lit("spike").alias("kind"), x.alias("value"), cutoff.alias("cutoff"), mid.alias("median"))))
     flags.append(F.when(impossible(), F.struct(F.lit("bar").alias("field"), F.lit("impossible").alias("kind"), none.alias("value"), none.alias("cutoff"), none.alias("median"))))
-    rows = rows.withColumn("flags", F.array_compact(F.array(*flags)))
+    rows = rows.withColumn("flags", F.when(F.coalesce(*flags).isNotNull(), F.array(*flags)))
     held = cut(_held(_chunked(rows).select("row_id", "stream", "us", "chunk", *STUCK_FIELDS, "flags"), ["flags"]))
     stuck = _stuck(held, rules).select("row_id", "field", F.lit("stuck").alias("kind"), "value", F.col("bars").alias("cutoff"), none.alias("median"))
-    return held.select("row_id", F.inline("flags")).unionByName(stuck)
+    return held.select("row_id", F.inline("flags")).where("field is not null").unionByName(stuck)
 
 
 def p1_flags(spark, sf_dir: str) -> DataFrame:
