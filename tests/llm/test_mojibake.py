@@ -36,10 +36,46 @@ def test_single_byte_pages_come_back(text, real, wrong):
     assert spans and back == text
 
 
+SCRIPTS = {
+    "arabic": "السلام عليكم، كيف حالك؟", "vietnamese": "Tiếng Việt rất đẹp, phải không?", "romanian": "Bucureşti și țară în București", "emoji": "well done 😀 👍 ok", "greek": "Ελληνική γλώσσα",
+    "formula": "where α = β + γ", "chinese": "中文文字處理", "hebrew": "שלום עולם", "turkish": "İstanbul’da yapılan görüşme", "signs": "x ≤ y − 2, ∑ a → ∞", "japanese": "日本語のテキストです。", "korean": "한국어 문장",
+}
+
+
+@pytest.mark.parametrize("name", sorted(SCRIPTS))
+def test_any_script_read_as_a_western_page_comes_back(name):
+    text = SCRIPTS[name]
+    assert restore(text) == (text, 0, "")
+    for page in ("cp1252", "mac_roman"):
+        back, spans, _ = restore(garble(text, "utf-8", page))
+        assert spans and (back == text or page == "mac_roman"), (page, back)
+
+
+@pytest.mark.parametrize("page", ["cp1252", "cp1251", "mac_roman", "cp1250", "cp437", "cp850", "cp866", "koi8_r"])
+def test_long_spans_come_back_from_every_page(page):
+    for name in ("arabic", "greek", "chinese", "hebrew", "japanese"):
+        assert restore(garble(SCRIPTS[name], "utf-8", page))[0] == SCRIPTS[name]
+    assert restore(garble(RUSSIAN, "utf-8", page))[0] == RUSSIAN
+
+
+def test_only_the_quoted_part_of_a_line_is_exempt():
+    line = garble(RUSSIAN, "cp1251", "cp1252")
+    back, spans, _ = restore(f"\\verb|Ã©| {line} \\verb|{line}|")
+    assert spans and back == f"\\verb|Ã©| {RUSSIAN} \\verb|{line}|"
+
+
+def test_garbled_four_times_over():
+    text = "é"
+    for _ in range(4):
+        text = garble(text, "utf-8", "cp1252")
+    assert restore(f"caf{text} noir")[0] == "café noir"
+
+
 @pytest.mark.parametrize(
     "text",
     [
-        TEXT, RUSSIAN, "Café naïve, решётка", "as organic as Ã—a nasal vowel—suggests", "├── data\n│   └── x.csv\n└── README", "A Γ-limit and √7 × ½ cost £303",
+        "«été» naïveté’” café”…", "НЕВИНОВЕН «Ёлка» Її їжак ЇЖАК Україна ВЇ", "STRÓŻ WĘŻÓW ŻÓŁW KSIĘŻNA", "╔═╗║ ┌─┬┐ └─┤", "2√π + ∆π ≤ ¬∂", "« L’été »: „Österreich“ ‚Öl‘", "Þórður veðátt góðæri", "Љубав Њујорк ЏЕЗ ЊЕГОШ",
+        "Größe: „Übergang“ – ‘é’ “é” ”é", "Ελληνικά «Άλφα» Ώρα", TEXT, RUSSIAN, "Café naïve, решётка", "as organic as Ã—a nasal vowel—suggests", "├── data\n│   └── x.csv\n└── README", "A Γ-limit and √7 × ½ cost £303",
         "The names Плотва and SÃO VALDÃO and Ñuñal, Мера-Юг", "\\verb|Ã¼|", "«СССР» и Гёте, «Её» — ВУЗ", "L’écart, l’état d’âme", "ATENÇÃO À variação", "Größe „Übergang“ ß", "¿Qué será? ¡Sí, país!", "", "plain", None,
         "НЕРАВЕНСТВО ВЫПОЛНЕНО ДЛЯ ЛЮБОЙ ТОЧКИ", "Žižek, Łódź, Kraków, Český", "a" * 100_000,
     ],
