@@ -84,18 +84,20 @@ def _histograms(rows: DataFrame) -> DataFrame:
     by log cell, 2 and 3 for the same by hour with the sum of their cells, 4 for stamps by
     stretches of about 13 days with the first and last stamp."""
     spread, volume, none = F.col("high") - F.col("low"), F.col("volume"), F.lit(None).cast("bigint")
+    # cells first, as columns of their own: a generator does not share what its expressions repeat
+    cells = rows.select(
+        F.col("stream").alias("k"), log_cell(spread).alias("rc"), spread.isNotNull().alias("r"), (spread > 0).alias("rp"), log_cell(volume).alias("vc"), volume.isNotNull().alias("v"), (volume > 0).alias("vp"),
+        _slot().cast("bigint").alias("slot"), F.when(F.col("us") >= FIRST_US, F.col("us")).alias("us"), F.shiftright("us", 40).alias("span"),
+    )
 
-    def entry(m: int, cell: Column, logs: Column, when: Column, us: Column = none) -> Column:
-        return F.when(when, F.struct(F.lit(m).alias("m"), cell.cast("bigint").alias("cell"), logs.alias("logs"), us.alias("us")))
+    def entry(m: int, cell: str, when: Column, logs: Column = none, us: Column = none) -> Column:
+        return F.struct(F.when(when, F.lit(m)).alias("m"), F.col(cell).alias("cell"), logs.alias("logs"), us.alias("us"))
 
     parts = [
-        entry(0, log_cell(spread), none, spread.isNotNull()),
-        entry(1, log_cell(volume), none, volume.isNotNull()),
-        entry(2, _slot(), log_cell(spread) - 1_000_000, spread > 0),
-        entry(3, _slot(), log_cell(volume) - 1_000_000, volume > 0),
-        entry(4, F.shiftright("us", 40), none, F.col("us") >= FIRST_US, F.col("us")),
+        entry(0, "rc", F.col("r")), entry(1, "vc", F.col("v")), entry(2, "slot", F.col("rp"), F.col("rc") - 1_000_000), entry(3, "slot", F.col("vp"), F.col("vc") - 1_000_000),
+        entry(4, "span", F.col("us").isNotNull(), none, F.col("us")),
     ]
-    long = rows.select(F.col("stream").alias("k"), F.inline(F.array(*parts))).where("m is not null")
+    long = cells.select("k", F.inline(F.array(*parts))).where("m is not null")
     return long.groupBy("k", "m", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("logs").alias("logs"), F.min("us").alias("a"), F.max("us").alias("z"))
 
 
@@ -239,15 +241,16 @@ def profiles(rows: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     start = keys.join(widths, F.col("s").eqNullSafe(F.col("ws")), "left").join(middle, F.col("s").eqNullSafe(F.col("hk")), "left")
     start = cut(start.join(hours, F.col("s").eqNullSafe(F.col("k")), "left").select("s", "width", "middle", "codes", "price_level", "volume_level"))
     known = join_small(rows, start.drop("middle"), F.col("stream").eqNullSafe(F.col("s")), row_bytes=PROFILE_BYTES)
-    none = F.lit(None).cast("double")
-    parts = []
-    for m, x in ((0, F.col("high") - F.col("low")), (1, F.col("volume"))):
-        hit = F.array_contains("codes", log_cell(x) * 2 + m)
-        parts.append(F.when(x.isNotNull() & hit, F.struct(F.lit(m).alias("m"), log_cell(x).alias("cell"), x.alias("x"))))
-    for i, (m, x) in enumerate(_measures().items()):
-        cell = _residual_cell(x, F.element_at("volume_level" if m == "volume" else "price_level", _slot()))
-        parts.append(F.when(cell.isNotNull(), F.struct(F.lit(2 + i).alias("m"), cell.alias("cell"), none.alias("x"))))
-    second = known.select(F.col("stream").alias("k"), F.inline(F.array(*parts))).where("m is not null").groupBy("k", "m", "cell", "x").agg(F.count(F.lit(1)).alias("n"))
+    values, parts = {"range": F.col("high") - F.col("low"), "volume": F.col("volume")}, []
+    columns = {}
+    for m, (c, x) in enumerate(values.items()):
+        columns |= {f"c_{c}": log_cell(x), f"x_{c}": F.when(F.array_contains("codes", log_cell(x) * 2 + m), x)}
+        parts.append(F.struct(F.when(F.col(f"x_{c}").isNotNull(), F.lit(m)).alias("m"), F.col(f"c_{c}").alias("cell"), F.col(f"x_{c}").alias("x")))
+    for i, (c, x) in enumerate(_measures().items()):
+        columns[f"r_{c}"] = _residual_cell(x, F.element_at("volume_level" if c == "volume" else "price_level", _slot()))
+        parts.append(F.struct(F.when(F.col(f"r_{c}").isNotNull(), F.lit(2 + i)).alias("m"), F.col(f"r_{c}").alias("cell"), F.lit(None).cast("double").alias("x")))
+    cells = known.select(F.col("stream").alias("k"), *[x.alias(c) for c, x in columns.items()])
+    second = cells.select("k", F.inline(F.array(*parts))).where("m is not null").groupBy("k", "m", "cell", "x").agg(F.count(F.lit(1)).alias("n"))
     second = cut(second)
     counted = second.where("m < 2").join(start.select("s", F.inline("middle")), F.col("k").eqNullSafe(F.col("s")) & (F.col("m") == F.col("hm")) & (F.col("cell") == F.col("hc")))
     medians = middle_values(counted.select("k", "m", "x", "n", "below", "lo", "hi"), ["range_median", "volume_median"]).withColumnRenamed("k", "ms")
@@ -269,15 +272,19 @@ def implausible_readings(candles: DataFrame, rules: SpikeRules = SpikeRules()) -
     """
     rows = _readings(candles)
     rows = join_small(rows, profiles(rows, rules), F.col("stream").eqNullSafe(F.col("s")), "left", PROFILE_BYTES)
-    flags, none = [], F.lit(None).cast("double")
+    none, judged, flags = F.lit(None).cast("double"), {"bad": impossible()}, []
     for m, x in _measures().items():
         mid = F.col("volume_median" if m == "volume" else "range_median")
         level = F.pow(F.lit(2.0), F.element_at("volume_level" if m == "volume" else "price_level", _slot()))
-        cutoff = F.least(F.col(f"z_{m}") * level, mid * (rules.volume_ceiling if m == "volume" else rules.range_ceiling))
-        flags.append(F.when(x > cutoff, F.struct(F.lit(m).alias("field"), F.lit("spike").alias("kind"), x.alias("value"), cutoff.alias("cutoff"), mid.alias("median"))))
-    flags.append(F.when(impossible(), F.struct(F.lit("bar").alias("field"), F.lit("impossible").alias("kind"), none.alias("value"), none.alias("cutoff"), none.alias("median"))))
-    rows = rows.withColumn("flags", F.when(F.coalesce(*flags).isNotNull(), F.array(*flags)))
-    held = cut(_held(_chunked(rows).select("row_id", "stream", "us", "chunk", *STUCK_FIELDS, "flags"), ["flags"]))
+        judged |= {f"x_{m}": x, f"cut_{m}": F.least(F.col(f"z_{m}") * level, mid * (rules.volume_ceiling if m == "volume" else rules.range_ceiling)), f"mid_{m}": mid}
+        over = F.struct(F.lit(m).alias("field"), F.lit("spike").alias("kind"), F.col(f"x_{m}").alias("value"), F.col(f"cut_{m}").alias("cutoff"), F.col(f"mid_{m}").alias("median"))
+        flags.append((F.col(f"x_{m}") > F.col(f"cut_{m}"), over))
+    flags.append((F.col("bad"), F.struct(F.lit("bar").alias("field"), F.lit("impossible").alias("kind"), none.alias("value"), none.alias("cutoff"), none.alias("median"))))
+    # what is judged first, as columns of its own, so that the flags do not compute it again
+    rows = _chunked(rows).select("row_id", "stream", "us", "chunk", *STUCK_FIELDS, *[x.alias(c) for c, x in judged.items()])
+    some = F.coalesce(F.greatest(*[hit for hit, _ in flags]), F.lit(False))
+    rows = rows.withColumn("flags", F.when(some, F.array(*[F.when(hit, flag) for hit, flag in flags])))
+    held = cut(_held(rows.select("row_id", "stream", "us", "chunk", *STUCK_FIELDS, "flags"), ["flags"]))
     stuck = _stuck(held, rules).select("row_id", "field", F.lit("stuck").alias("kind"), "value", F.col("bars").alias("cutoff"), none.alias("median"))
     return held.select("row_id", F.inline("flags")).where("field is not null").unionByName(stuck)
 
