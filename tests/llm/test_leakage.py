@@ -57,7 +57,7 @@ def test_against_brute_force(spark, seed):
 
 
 def test_passes_slices_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEMS_PER_PASS", 7)
+    monkeypatch.setattr(L, "ITEM_CHARS_PER_PASS", 700)
     monkeypatch.setattr(L, "SLICE_BYTES", 50)
     items = [(k, " ".join(f"x{k}y{j}" for j in range(13))) for k in range(30)]
     docs = [(k, f"noise {t} end {'z ' * (k * 10)}") for k, t in items]

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.session import table
+from tidewright.session import cut, table
 
 WORD = re.compile(r"[a-z0-9]+")
 COMMAND = re.compile(r"\\[A-Za-z]+")
 #: Letters outside ASCII whose lower case begins with an ASCII letter (fixed values).
 FOLDED = (("K".encode(), b"k"), ("İ".encode(), b"i\xcc\x87"))
-#: Test items per pass; larger sets are searched in several passes over the corpus.
-ITEMS_PER_PASS = 20_000
+#: Characters of test items per pass over the corpus, a bound on what every task holds; larger sets take several passes.
+ITEM_CHARS_PER_PASS = 200_000_000
 SLICE_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,8 +87,8 @@ def word_hashes(data: np.ndarray, doc_starts: np.ndarray, up: np.ndarray, down:
 class TestSet:
     """The words of the test items, their suffixes in order, and the pairs that occur in them."""
 
-    def __init__(self, ids: list, texts: list[str], min_words: int):
-        self.ids, self.min_words = ids, min_words
+    def __init__(self, texts: list[str], min_words: int):
+        self.min_words = min_words
         lists = [words_of(t or "") for t in texts]
         flat = [w for ws in lists for w in ws]
         vocabulary = sorted(set(flat))
@@ -106,16 +106,17 @@ class TestSet:
         left = self.item_start[item_of + 1] - places if len(flat) else places
         self.suffixes = places[left >= min_words]
         self.item_of, self.left = item_of, left
+        self.tests = np.ascontiguousarray(self.words[self.suffixes[:, None] + np.arange(min_words)].astype(">u4")).view(f"S{4 * min_words}").ravel()
         self.width = len(vocabulary) + 2
         inner = places[left >= 2]
         self.pairs = np.unique(self.words[inner] * self.width + self.words[inner + 1])
 
-    def search(self, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """``(doc, item, word in doc, word in item, length)`` of the matches in a slice's words,
-        the longest at each place of the item."""
-        m = self.min_words
+    def search(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``(doc, item, word in slice, word in item, length)``, one array each, of the maximal matches in a
+        slice's words."""
+        m, none = self.min_words, tuple(np.zeros(0, np.int64) for _ in range(5))
         if len(h) < m or not len(self.suffixes):
-            return []
+            return none
         at = np.searchsorted(self.hash_sorted, h)
         at[at == len(self.hash_sorted)] = 0
         w = np.where(self.hash_sorted[at] == h, self.hash_number[at], 0)
@@ -127,26 +128,29 @@ class TestSet:
         n = len(h) - m + 1
         starts = np.flatnonzero(run[m - 1 : m - 1 + n] - run[:n] == m - 1)
         if not len(starts):
-            return []
+            return none
         # the suffix array of the slice: its suffixes, to the depth of the shortest match
         rows = np.ascontiguousarray(w[starts[:, None] + np.arange(m)].astype(">u4")).view(f"S{4 * m}").ravel()
         order = np.argsort(rows, kind="stable")
         array, places = rows[order], starts[order]
-        tests = np.ascontiguousarray(self.words[self.suffixes[:, None] + np.arange(m)].astype(">u4")).view(f"S{4 * m}").ravel()
-        lo, hi = np.searchsorted(array, tests, "left"), np.searchsorted(array, tests, "right")
-        out = []
-        for s in np.flatnonzero(hi > lo).tolist():
-            j = int(self.suffixes[s])
-            limit = int(self.left[j])
-            for i in places[lo[s] : hi[s]].tolist():
-                # a match that begins earlier covers this one
-                if i > 0 and j > self.item_start[self.item_of[j]] and w[i - 1] == self.words[j - 1] and doc[i - 1] == doc[i]:
-                    continue
-                k = m
-                while k < limit and i + k < len(w) and w[i + k] == self.words[j + k] and doc[i + k] == doc[i]:
-                    k += 1
-                out.append((int(doc[i]), int(self.item_of[j]), i, j - int(self.item_start[self.item_of[j]]), k))
-        return out
+        lo, hi = np.searchsorted(array, self.tests, "left"), np.searchsorted(array, self.tests, "right")
+        hits = hi - lo
+        suffix = np.repeat(np.arange(len(hits)), hits)
+        i = places[np.arange(len(suffix)) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(lo, hits)]
+        j = self.suffixes[suffix]
+        item = self.item_of[j]
+        # a match that begins earlier covers this one
+        earlier = (i > 0) & (j > self.item_start[item]) & (w[np.maximum(i, 1) - 1] == self.words[np.maximum(j, 1) - 1]) & (doc[np.maximum(i, 1) - 1] == doc[i])
+        i, j, item = i[~earlier], j[~earlier], item[~earlier]
+        length, growing = np.full(len(i), m), np.arange(len(i))
+        while len(growing):
+            k, at, to = length[growing], i[growing], j[growing]
+            more = (k < self.left[to]) & (at + k < len(w))
+            growing, k, at, to = growing[more], k[more], at[more], to[more]
+            more = (w[at + k] == self.words[to + k]) & (doc[at + k] == doc[at])
+            growing = growing[more]
+            length[growing] += 1
+        return doc[i], item, i, j - self.item_start[item], length
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -165,29 +169,29 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = 12,
     """``(doc_id, item_id, doc_word, item_word, n_words)``: the maximal passages of at least
     ``min_words`` words that a document shares with a test item, and where they begin.
 
-    One pass over the corpus without a shuffle for each ITEMS_PER_PASS test items. The test set
-    is held-out material of a bounded size; it is counted, and a pass never ships more items than
-    that. Words are compared by a 64-bit hash against the test vocabulary, then by number.
+    One pass over the corpus without a shuffle for any test set of up to ITEM_CHARS_PER_PASS
+    characters; its size is checked, and larger ones take a pass for each such part. The set is
+    prepared once and broadcast. Words are compared by a 64-bit hash against the test vocabulary,
+    then by number.
 
     Null and empty texts hold nothing; items under ``min_words`` words are never found; repeated
     documents are reported each, repeated items too; other columns are ignored.
     """
     wanted = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null")
-    parts = max(1, -(-wanted.count() // ITEMS_PER_PASS))
+    chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
+    parts = max(1, -(-chars // ITEM_CHARS_PER_PASS))
     kind, ikind = dict(documents.dtypes)[id_col], dict(items.dtypes)[item_id]
     corpus = documents.select(id_col, text_col).where(F.col(text_col).isNotNull())
     out = None
     for p in range(parts):
-        rows = wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).collect()
-        ids, texts = [r["i"] for r in rows], [r["t"] for r in rows]
+        rows = wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).toArrow()
+        item_ids = rows.column("i").combine_chunks()
+        shipped = documents.sparkSession.sparkContext.broadcast(TestSet(rows.column("t").to_pylist(), min_words))
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
-            tests = TestSet(ids, texts, min_words)
+        def run(batches: Iterator[pa.RecordBatch], item_ids=item_ids, shipped=shipped) -> Iterator[pa.RecordBatch]:
+            tests = shipped.value
             up, down = _powers(SLICE_BYTES + 1)
-            id_type = None
             for b in batches:
-                id_type = b.schema.field(0).type
-                found = []
                 for doc_ids, data, starts in _slices(b):
                     if len(data) > len(up) - 2:
                         up, down = _powers(len(data) + 2)
@@ -198,12 +202,11 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = 12,
                             data = np.frombuffer(b"".join(texts_here), np.uint8)
                     h, doc = word_hashes(data, starts, up, down)
                     first = np.searchsorted(doc, np.arange(len(starts)))
-                    found += [(doc_ids[d].as_py(), ids[i], w - int(first[d]), j, k) for d, i, w, j, k in tests.search(h, doc)]
-                cols = list(zip(*found, strict=True)) if found else [[]] * 5
-                item_type = pa.int64() if ikind == "bigint" else None
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], id_type), pa.array(cols[1], item_type), *[pa.array(c, pa.int32()) for c in cols[2:]]], ["doc_id", "item_id", "doc_word", "item_word", "n_words"]
-                )
+                    d, i, w, j, k = tests.search(h, doc)
+                    if len(d):
+                        yield pa.RecordBatch.from_arrays(
+                            [doc_ids.take(pa.array(d)), item_ids.take(pa.array(i)), *[pa.array(x.astype(np.int32)) for x in (w - first[d], j, k)]], ["doc_id", "item_id", "doc_word", "item_word", "n_words"]
+                        )
 
         one = corpus.mapInArrow(run, f"doc_id {kind}, item_id {ikind}, doc_word int, item_word int, n_words int")
         out = one if out is None else out.unionByName(one)
@@ -211,7 +214,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = 12,
 
 
 def decontaminated(documents: DataFrame, passages: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents without leaked passages."""
+    """The documents without leaked passages; documents without an id stay."""
     bad = passages.select(F.col("doc_id").alias("leaked")).distinct()
     return documents.join(bad, F.col(id_col) == F.col("leaked"), "left_anti")
 
@@ -226,6 +229,13 @@ def p8_passages(spark, sf_dir: str) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_clean(spark, sf_dir: str) -> DataFrame:
+    """The documents that hold no passage of a test item, with their length."""
+    documents = table(spark, sf_dir, "documents")
+    passages = cut(leaked_passages(documents, table(spark, sf_dir, "eval_items")))
+    return decontaminated(documents, passages).select("doc_id", "source", "n_chars")
+
+
 P8_SQL = r"""
 with w as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '\\[A-Za-z]+', '', 'g')), '[a-z0-9]+') w from documents where text is not null),
 i as (select item_id, regexp_extract_all(lower(regexp_replace(item_text, '\\[A-Za-z]+', '', 'g')), '[a-z0-9]+') w from eval_items where item_text is not null),
@@ -233,3 +243,5 @@ g as (select distinct item_id, array_to_string(w[k:k + 11], ' ') gram from (sele
 d as (select doc_id, array_to_string(w[k:k + 11], ' ') gram from (select doc_id, w, unnest(range(1, len(w) - 10)) k from w))
 select distinct doc_id, item_id from d join g using (gram)
 """
+
+P8_CLEAN_SQL = f"select doc_id, source, n_chars from documents where doc_id not in (select doc_id from ({P8_SQL}))"
