@@ -63,9 +63,13 @@ def restate_at_costs(rows: DataFrame, levels: tuple[float, ...] = (0.0, 2.0, 5.0
     return net.groupBy("stream", "level").agg(F.round(F.sum("net"), 8).alias("net_pnl"), F.round(stats.sharpe("net", YEAR), 6).alias("net_sharpe"))
 
 
-def fold_metrics(rows: DataFrame, size: int = 100) -> DataFrame:
-    """Per fold of ``size`` bars: count, mean, deviation and Sharpe of the net returns."""
-    own = rows.where("own").withColumn("fold", F.expr(f"i div {size}"))
+def fold_metrics(rows: DataFrame, size: int = 100, cost_bps: float = COST_BPS) -> DataFrame:
+    """Per fold of ``size`` bars: count, sum and Sharpe of the net returns. Each fold is traded on its
+    own: the lag is inside it, so its first bar is flat and its second one pays the entry."""
+    at = F.expr(f"i % {size}")
+    change = F.when(at == 0, 0.0).when(at == 1, F.abs("pos")).otherwise(F.col("change"))
+    net = F.when(at == 0, 0.0).otherwise(F.col("gross")) - change * (cost_bps / 1e4)
+    own = rows.where("own").withColumn("fold", F.expr(f"i div {size}")).withColumn("net", net)
     return own.groupBy("stream", "fold").agg(F.count(F.lit(1)).alias("bars"), F.round(F.sum("net"), 8).alias("net_pnl"), F.round(stats.sharpe("net", YEAR), 6).alias("net_sharpe"))
 
 
@@ -127,6 +131,9 @@ select stream, n as bars, tr as trades, round(ns, 6) as net_sharpe, round(gs, 6)
   round(case when tv > 1e-9 then 1e4 * gp / tv end, 6) as break_even_bps from vv"""
 COSTS_SQL = STRATEGY_SQL + f""", l as (select stream, l::double as level, gross - chg * l / 1e4 net from s3, (select unnest([0.0, 2.0, 5.0, 10.0]) l))
 select stream, level, round(sum(net), 8) as net_pnl, round({_sharpe_sql('net')}, 6) as net_sharpe from l group by 1, 2"""
-FOLDS_SQL = STRATEGY_SQL + f" select stream, i // 100 as fold, count(*) as bars, round(sum(net), 8) as net_pnl, round({_sharpe_sql('net')}, 6) as net_sharpe from s3 group by 1, 2"
+#: The lag and the entry are taken within the fold.
+FOLDS_SQL = POSITION_SQL + f""", f1 as (select *, i // 100 fold, coalesce(lag(position) over (partition by stream, i // 100 order by i), 0) held from pos),
+f2 as (select *, held * ret - abs(held - coalesce(lag(held) over (partition by stream, fold order by i), 0)) * 0.0005 net from f1)
+select stream, fold, count(*) as bars, round(sum(net), 8) as net_pnl, round({_sharpe_sql('net')}, 6) as net_sharpe from f2 group by 1, 2"""
 FOLD_SUMMARY_SQL = f"""select stream, count(net_sharpe) as folds, round(avg(net_sharpe), 6) as mean_sharpe, round(stddev_samp(net_sharpe), 6) as std_sharpe,
   round(avg(case when net_sharpe > 0 then 1.0::double else 0 end), 6) as positive, min(net_sharpe) as worst, max(net_sharpe) as best from ({FOLDS_SQL}) group by 1"""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.bars import BARS_SQL, bars, indexed, order, own, with_halo
-from tidewright.session import table
+from tidewright.session import cut, join_small, table
 
 
 def triple_barrier(rows: DataFrame, up: Column, down: Column, horizon: int = 10) -> DataFrame:
@@ -111,6 +111,29 @@ def q_cusum(spark, sf_dir):
     return cusum_events(indexed(bars(table(spark, sf_dir, "candles"))), 0.02)
 
 
+def sample_weights(labels: DataFrame, low: float = 0.1, high: float = 5.0) -> DataFrame:
+    """``(stream, id, weight)`` of labels ``(stream, id, uniqueness, gain)``: uniqueness times the size of the
+    gain, divided by the stream's mean, kept within bounds and divided by the mean again. The means
+    come from aggregates, so a stream with a third of the rows is many tasks; labels without a gain
+    weigh nothing, and a stream whose weights are all 0 gets equal ones."""
+    w = labels.select("stream", "id", (F.col("uniqueness") * F.abs(F.coalesce("gain", F.lit(0.0)))).alias("w"))
+    for last in (False, True):
+        means = cut(w.groupBy(F.col("stream").alias("ms")).agg(F.avg("w").alias("mean")))
+        scaled = F.when(F.col("mean") > 0, F.col("w") / F.col("mean")).otherwise(1.0)
+        w = join_small(w, means, F.col("stream").eqNullSafe(F.col("ms"))).select("stream", "id", (scaled if last else clamp_weights(scaled, low, high)).alias("w"))
+    return w.withColumnRenamed("w", "weight")
+
+
+def q_sample_weights(spark, sf_dir):
+    """Per stream: the labels' weights, their effective number, and the weighted and plain mean gain."""
+    lab = cut(labelled(table(spark, sf_dir, "candles")).select("stream", F.col("i").alias("id"), F.col("i").alias("s"), F.col("touched").alias("e"), (F.col("gain") / F.col("close")).alias("gain")))
+    u = sample_uniqueness(lab.select("stream", "id", "s", "e"), ["stream"]).select(F.col("stream").alias("us"), F.col("id").alias("ui"), F.round("uniqueness", 9).alias("uniqueness"))
+    both = cut(lab.join(u, F.col("stream").eqNullSafe(F.col("us")) & (F.col("id") == F.col("ui"))).select("stream", "id", "uniqueness", "gain"))
+    w = sample_weights(both).select(F.col("stream").alias("ws"), F.col("id").alias("wi"), "weight")
+    j = both.join(w, F.col("stream").eqNullSafe(F.col("ws")) & (F.col("id") == F.col("wi")))
+    return j.groupBy("stream").agg(F.count(F.lit(1)).alias("labels"), F.round(F.min("weight"), 6).alias("least"), F.round(F.max("weight"), 6).alias("most"), F.round(effective_sample_size("weight"), 4).alias("effective"), F.round(weighted_mean("gain", "weight"), 9).alias("weighted_gain"), F.round(F.avg("gain"), 9).alias("mean_gain"))
+
+
 _TB = f"""with {BARS_SQL}, h as (select b.stream, b.i, min(n.i) hit from b join b n on n.stream = b.stream and n.i between b.i + 1 and b.i + 10
     and (n.close >= b.close * (1 + 0.01) or n.close <= b.close * (1 - 0.01)) group by 1, 2),
 m as (select stream, max(i) last from b group by 1),
@@ -121,3 +144,9 @@ TRIPLE_SQL = _TB + " select stream, i, label, touched, round(gain, 6) as gain fr
 UNIQUE_SQL = _TB + """, e as (select stream, i id, unnest(generate_series(i, touched)) t from l), c as (select stream, t, count(*) c from e group by all),
 u as (select stream, id, avg(1.0::double / c) u from e join c using (stream, t) group by all)
 select stream, round(avg(u), 8) as mean_uniqueness, round(sum(u), 5) as effective_size, round(pow(sum(u), 2) / sum(u * u), 4) as kish from u group by 1"""
+WEIGHTS_SQL = _TB + """, e as (select stream, i id, unnest(generate_series(i, touched)) t from l), c as (select stream, t, count(*) c from e group by all),
+u as (select stream, id, round(avg(1.0::double / c), 9) u from e join c using (stream, t) group by all),
+g as (select u.stream, u.id, u, l.gain / b.close g from u join l on l.stream = u.stream and l.i = u.id join b on b.stream = u.stream and b.i = u.id),
+w1 as (select *, u * abs(g) w from g), w2 as (select *, greatest(0.1, least(5.0, case when avg(w) over p > 0 then w / avg(w) over p else 1 end)) c from w1 window p as (partition by stream)),
+w3 as (select *, c / avg(c) over (partition by stream) wt from w2)
+select stream, count(*) as labels, round(min(wt), 6) as least, round(max(wt), 6) as most, round(pow(sum(wt), 2) / sum(wt * wt), 4) as effective, round(sum(g * wt) / sum(wt), 9) as weighted_gain, round(avg(g), 9) as mean_gain from w3 group by 1"""

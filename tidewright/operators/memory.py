@@ -36,9 +36,17 @@ def utility() -> Column:
 
 
 def quality() -> Column:
-    """importance x ln(1 + access) x size^-1.5 x |mean|^0.8 x variance^-1.2, averages of the vectors."""
-    avg = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.abs(x)) / F.size(c)
-    return F.col("importance") * F.log1p("access_count") * F.pow("size", F.lit(-1.5)) * F.pow(avg("mean"), F.lit(0.8)) * F.pow(avg("variance"), F.lit(-1.2))
+    """importance x ln(1 + access) x (1 + size)^-1.5 x (1 + mean)^0.8 x (1 + variance)^-1.2 with plain averages of
+    the vectors, missing entries counting 0; bases that are not positive count 1e-8."""
+
+    def avg(c: str) -> Column:
+        return F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda s, x: s + F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x)) / F.size(c)).otherwise(0.0)
+
+    def base(x: Column) -> Column:
+        return F.when(x <= 0, 1e-8).otherwise(x)
+
+    powers = F.pow(base(F.col("size") + 1), F.lit(-1.5)) * F.pow(base(1 + avg("mean")), F.lit(0.8)) * F.pow(base(1 + avg("variance")), F.lit(-1.2))
+    return F.col("importance") * F.ln(base(1 + F.col("access_count") + 1e-8)) * powers
 
 
 def keep_best(rows: DataFrame, key: str, score: Column, recency: Column, recent: int, best: int) -> DataFrame:
@@ -209,9 +217,9 @@ def q_pooled(spark, sf_dir):
 
 
 _D = "d as (select * from (select *, row_number() over (partition by proto_id order by usage_count desc nulls last, access_count desc nulls last) rn from volatile_positive) where rn = 1)"
-_AVG = "(list_sum(list_transform({c}, lambda x: abs(x))) / len({c}))"
+_BASE = "case when 1 + list_avg({c}) <= 0 then 1e-8 else 1 + list_avg({c}) end"
 UTILITY_SQL = f"""with {_D} select proto_id, round(sqrt(size * access_count) * (1 + sqrt(list_sum(variance) / len(variance))) * importance, 6) as utility,
-  round(importance * ln(1 + access_count) * pow(size, -1.5) * pow({_AVG.format(c='mean')}, 0.8) * pow({_AVG.format(c='variance')}, -1.2), 8) as quality from d where variance is not null and importance is not null"""
+  round(importance * ln(1 + access_count + 1e-8) * pow(size + 1, -1.5) * pow({_BASE.format(c='mean')}, 0.8) * pow({_BASE.format(c='variance')}, -1.2), 8) as quality from d where variance is not null and importance is not null"""
 SURPRISE_SQL = f"""with {_D}, f as (select compat_id, unnest(mean) x, generate_subscripts(mean, 1) j from d), m as (select compat_id, list(x order by j) c from (select compat_id, j, avg(x) x from f group by 1, 2) group by 1),
 s as (select proto_id, round(list_sum(list_transform(list_zip(mean, c), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(mean, lambda x: x * x))) * sqrt(list_sum(list_transform(c, lambda x: x * x)))), 9) sim from d join m using (compat_id))
 select proto_id, round(sim, 6) as similarity, round(0.1 + 0.9 * pow(1 - greatest(0, least(1, sim)), 2), 6) as gate from s"""

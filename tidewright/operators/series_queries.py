@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.operators import quality
-from tidewright.operators.bars import BARS_SQL, bars, find_gaps, indexed, normalize_bars, resample_bars, summarize_bars, with_halo
+from tidewright.operators.bars import BARS_SQL, bars, dedupe_bars, drop_unclosed, find_gaps, indexed, merge_bars, normalize_bars, resample_bars, summarize_bars, with_halo
 from tidewright.session import cut, join_small, table
 
 #: "Now" of the audits, 2026-01-01 UTC.
@@ -110,8 +110,108 @@ g as (select stream, us // 28800000000 k, round(sum(rate), 9) f_rate, arg_max(ma
 x as (select g.stream, g.k, f_rate, mk mark, spot from g left join s on s.stream = g.stream and s.k = g.k)
 select x.stream, x.k, x.f_rate, round(x.spot / p.spot - 1, 9) as spot_ret, round(x.spot / p.spot - 1 - (x.mark / p.mark - 1), 9) as basis from x left join x p on p.stream = x.stream and p.k = x.k - 1"""
 
+def q_filters(spark, sf_dir):
+    """Per stream how many values, stamps and bars pass each row filter, and the volume with missing values as 0."""
+    c = table(spark, sf_dir, "candles")
+    fields = ("open", "high", "low", "close", "volume")
+    return c.groupBy("stream").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(quality.is_valid_number(F.col(f)), F.lit(False))).alias(f"valid_{f}") for f in fields], F.count_if(quality.is_valid_timestamp(F.col("ts"))).alias("valid_ts"),
+        F.count_if(quality.is_implausible(0.5)).alias("implausible"), F.round(F.sum(quality.finite_or(F.col("volume"))), 3).alias("volume"),
+    )
+
+
+def q_wicks(spark, sf_dir):
+    """The bars whose wicks reach beyond half of the body's end."""
+    return quality.find_implausible_wicks(table(spark, sf_dir, "candles"), 0.5).select("row_id")
+
+
+def q_grids(spark, sf_dir):
+    """Per stream the decimals its last price needs, the grid they make, and that price cut off to two decimals."""
+    last = summarize_bars(bars(table(spark, sf_dir, "candles"))).select("stream", F.col("last_close").alias("price"))
+    return last.select("stream", quality.price_decimals(F.col("price")).alias("decimals"), F.round(quality.price_grid(F.col("price")), 9).alias("grid"), quality.truncate_to_decimals(F.col("price"), 2).alias("cut"))
+
+
+#: "Now" of the stores, 2023-07-22 04:26:40 UTC.
+STORE_US = 1_690_000_000_000_000
+
+
+def q_store(spark, sf_dir):
+    """A stored file (rows that came first) with an update merged over it, unclosed bars dropped: per stream."""
+    rows = normalize_bars(table(spark, sf_dir, "candles"))
+    old, new = (dedupe_bars(rows.where(F.expr(f"row_id % 5 {op} 0"))) for op in ("<>", "="))
+    out = join_small(merge_bars(old, new), _steps(spark, sf_dir), F.col("stream").eqNullSafe(F.col("ms")))
+    out = drop_unclosed(out, F.col("step_us"), STORE_US)
+    return out.groupBy("stream").agg(F.count(F.lit(1)).alias("bars"), F.max("us").alias("last_us"), F.round(F.sum("close"), 4).alias("close"), F.count_if(F.col("row_id") % 5 == 0).alias("updated"))
+
+
+def q_plan(spark, sf_dir):
+    """What an update has to fetch behind each stream's last bar, and what a backfill of its windows has to."""
+    from tidewright.sources.exchanges import interval_name
+
+    man = table(spark, sf_dir, "candle_manifest")
+    whole = (F.unix_micros("window_end") - F.unix_micros("window_start")) / (F.col("interval_ms") * 1000)
+    windows = man.groupBy("stream").agg(F.max("interval_ms").alias("interval_ms"), F.sum(F.ceil(whole)).alias("backfill"))
+    last = bars(table(spark, sf_dir, "candles")).groupBy(F.col("stream").alias("s")).agg(F.expr("max(us) div 1000").alias("last_ms"))
+    j = windows.join(last, F.col("stream") == F.col("s"), "left")
+    start = F.coalesce(F.col("last_ms") + F.col("interval_ms"), F.lit(0))
+    return j.select("stream", interval_name(F.col("interval_ms")).alias("interval"), start.alias("start_ms"), F.greatest(F.lit(0), F.ceil((F.lit(NOW_US // 1000) - start) / F.col("interval_ms"))).alias("update"), "backfill")
+
+
+def q_pages(spark, sf_dir):
+    """Bars in the answers of four exchanges, read back: per source and stream."""
+    from tidewright.sources.exchanges import SOURCES, format_pages, parse_pages
+
+    rows = cut(indexed(bars(table(spark, sf_dir, "candles"))))
+    out = None
+    for name in SOURCES:
+        one = parse_pages(format_pages(rows, name), name).groupBy("stream").agg(F.count(F.lit(1)).alias("bars"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.max_by("open", "ms").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ms").alias("close"), F.round(F.sum("volume"), 1).alias("volume"))
+        one = one.select(F.lit(name).alias("source"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_funding_lines(spark, sf_dir):
+    """Funding rows written as JSON lines and read back."""
+    from tidewright.sources.jsonl import format_funding, parse_funding
+
+    return parse_funding(format_funding(quality.funding_rows(table(spark, sf_dir, "funding")))).distinct()
+
+
+def q_panel_files(spark, sf_dir):
+    """Marks as whole-JSON panels of 90 periods, read back: what is positive, with its stamp."""
+    from tidewright.sources.jsonl import parse_panel
+
+    period, per = 28_800_000, 90
+    marks = quality.funding_rows(table(spark, sf_dir, "funding")).where("mark is not null").groupBy("stream", F.expr(f"us div {period * 1000}").alias("k")).agg(F.max("mark").alias("mark"))
+    part = marks.groupBy("stream", F.expr(f"k div {per}").alias("p")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("k") % per).cast("int").alias("i"), F.col("mark")))).alias("by"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: F.coalesce(F.element_at("by", i), F.lit(0.0)))
+    doc = F.struct(F.create_map("stream", F.struct((F.col("p") * per * period).alias("t0"), F.lit(period).alias("stepMs"), values.alias("oiVal"))).alias("symbols"))
+    return parse_panel(part.select(F.to_json(doc).alias("value")))
+
+
+_FIELDS = ("open", "high", "low", "close", "volume")
+FILTERS_SQL = "select stream, count(*) as rows, " + ", ".join(f"count_if({f} is not null and isfinite({f})) as valid_{f}" for f in _FIELDS) + ", count(ts) as valid_ts, " + f"""
+  count_if(low < least(open, close) * 0.5 or high > greatest(open, close) * 1.5) as implausible, round(sum(case when volume is not null and isfinite(volume) then volume else 0 end), 3) as volume from candles group by 1"""
+WICKS_SQL = "select row_id from candles where low < least(open, close) * 0.5 or high > greatest(open, close) * 1.5"
+GRIDS_SQL = f"""with {BARS_SQL}, p as (select stream, arg_max(close, us) p from b group by 1), gd as (select *, least(8, greatest(2, ceil(log10(10 / 1e-4) - log10(p) - 1e-12)))::int k from p)
+select stream, k as decimals, round(pow(10.0, -k), 9) as grid, floor(abs(p) * 100.0::double) / 100.0::double as cut from gd"""
+STORE_SQL = f"""with n as (select row_id, stream, epoch_us(ts) us, ts, close, ingested_at, row_id % 5 = 0 fresh from candles where ts >= timestamptz '1980-01-01 00:00:00+00' and open > 0 and high > 0 and low > 0 and close > 0 and volume >= 0
+  and high >= greatest(open, close, low) and low <= least(open, close)), o as (select *, row_number() over (partition by stream, us order by fresh desc, ingested_at desc nulls last, row_id desc) rn from n),
+w as (select stream, max(interval_ms) * 1000 step from candle_manifest group by 1)
+select o.stream, count(*) as bars, max(us) as last_us, round(sum(close), 4) as close, count_if(fresh) as updated from o join w on o.stream = w.stream where rn = 1 and us + step <= {STORE_US} group by 1"""
+_NAMED = "case interval_ms " + " ".join(f"when {ms} then '{n}'" for n, ms in (("1m", 60_000), ("3m", 180_000), ("5m", 300_000), ("15m", 900_000), ("30m", 1_800_000), ("1h", 3_600_000), ("2h", 7_200_000), ("4h", 14_400_000), ("6h", 21_600_000), ("8h", 28_800_000), ("12h", 43_200_000), ("1d", 86_400_000))) + " end"
+PLAN_SQL = f"""with {BARS_SQL}, w as (select stream, max(interval_ms) interval_ms, sum(ceil((epoch_us(window_end) - epoch_us(window_start)) / (interval_ms * 1000)))::bigint backfill from candle_manifest group by 1),
+l as (select stream, max(us) // 1000 last_ms from b group by 1), j as (select w.*, coalesce(last_ms + interval_ms, 0) start_ms from w left join l using (stream))
+select stream, {_NAMED} as "interval", start_ms, greatest(0, ceil(({NOW_US // 1000} - start_ms) / interval_ms))::bigint as "update", backfill from j"""
+PAGES_SQL = f"""with {BARS_SQL}, s as (select unnest(['binance', 'bybit', 'coinbase', 'kraken']) source, unnest([1, 1, 1000, 1000]) unit)
+select source, stream, count(*) as bars, min(us // (1000 * unit) * unit) as first_ms, max(us // (1000 * unit) * unit) as last_ms, arg_max(open, us) as open, max(high) as high, min(low) as low, arg_max(close, us) as close, round(sum(volume), 1) as volume from b, s group by 1, 2"""
+FUNDING_LINES_SQL = f"with {_FUND} select distinct stream, us // 1000 * 1000 as us, rate, mark from f"
+PANEL_FILES_SQL = f"with {_FUND} select stream as symbol, us // 28800000000 * 28800000 as ms, max(mark) as value from f where mark is not null group by 1, 2 having max(mark) > 0"
+
 QUERIES = {
     "candles_audit": (q_audit, AUDIT_SQL), "repaired_wicks": (q_repair, REPAIR_SQL), "bar_gaps": (q_gaps, GAPS_SQL), "bar_summary": (q_summary, SUMMARY_SQL),
     "resampled_bars": (q_resampled, RESAMPLE_SQL), "jsonl_round_trip": (q_jsonl, JSONL_SQL), "funding_audit": (q_funding_audit, FUNDING_SQL),
     "carry_asof": (q_carry, CARRY_SQL), "carry_view": (q_carry_view, VIEW_SQL),
+    "row_filters": (q_filters, FILTERS_SQL), "implausible_wicks": (q_wicks, WICKS_SQL), "price_grids": (q_grids, GRIDS_SQL), "store_merge": (q_store, STORE_SQL), "fetch_plan": (q_plan, PLAN_SQL),
+    "exchange_pages": (q_pages, PAGES_SQL), "funding_lines": (q_funding_lines, FUNDING_LINES_SQL), "panel_files": (q_panel_files, PANEL_FILES_SQL),
 }

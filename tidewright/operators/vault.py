@@ -269,6 +269,41 @@ def q_compat(spark, sf_dir):
     return out
 
 
+def q_upsert(spark, sf_dir):
+    """The positive bank with rows written over it: those merged a multiple of three times with doubled size, and the negative bank's."""
+    old = _pos(spark, sf_dir).select("proto_id", "compat_id", "size")
+    third = _pos(spark, sf_dir).where("merged_count % 3 = 0").select("proto_id", "compat_id", "size").withColumn("size", F.col("size") * 2)
+    new = third.unionByName(distinct_protos(table(spark, sf_dir, "volatile_negative")).select("proto_id", "compat_id", "size"))
+    return upsert(old, new).withColumn("size", F.round("size", 6))
+
+
+def q_insert_ignore(spark, sf_dir):
+    """The positive compatibilities with the negative ones added, existing ids kept as they are."""
+    return insert_ignore(table(spark, sf_dir, "compat_positive"), table(spark, sf_dir, "compat_negative"), "compat_id")
+
+
+def q_boosted(spark, sf_dir):
+    """The bank after its three most important prototypes of each compat_id were hit."""
+    p = _pos(spark, sf_dir)
+    hits = top_per_compat(p.where("importance is not null"), 3).select("proto_id")
+    return boosted(p, hits).select("proto_id", *[F.round(c, 6).alias(c) for c in ("size", "importance", "access_count")], "usage_count")
+
+
+def q_promotions(spark, sf_dir):
+    """Prototypes merged often enough for the core, with their rank by importance in their compat_id."""
+    return ranked_per_compat(promotions(_pos(spark, sf_dir).where("importance is not null"), 2)).select("proto_id", "compat_id", "merged_count", "rn")
+
+
+def q_memory_reads(spark, sf_dir):
+    """What a reader of each compat_id gets: the most important positives and negatives in one ranking, by polarity."""
+    both = None
+    for x in ("positive", "negative"):
+        one = top_per_compat(distinct_protos(table(spark, sf_dir, f"volatile_{x}")).where("importance is not null"), 5).select("compat_id", F.lit(x).alias("polarity"), "proto_id", "importance")
+        both = one if both is None else both.unionByName(one)
+    share = F.sum("importance").over(Window.partitionBy("compat_id"))
+    return both.select("compat_id", "polarity", "proto_id", F.round(F.when(share > 0, F.col("importance") / share).otherwise(0.0), 8).alias("share"))
+
+
 _D = "d as (select * from (select *, row_number() over (partition by proto_id order by usage_count desc nulls last, access_count desc nulls last) rn from volatile_positive) where rn = 1)"
 _E = """e as (select source, polarity, parent_proto, child_proto, min(accum_distance) accum_distance from (select source, polarity, parent_proto, child_proto, accum_distance from proto_edges
   union all select source, polarity, child_proto, parent_proto, accum_distance from proto_edges) where parent_proto <> child_proto group by 1, 2, 3, 4)"""
@@ -294,8 +329,21 @@ COMPAT_SQL = """with v as (select 'positive' polarity, compat_id, proto_id, any_
 c as (select 'positive' polarity, * from compat_positive union all select 'negative', * from compat_negative)
 select c.polarity, compatibility, c.compat_id, count(v.proto_id) as protos, round(sum(v.size), 4) as size from c left join v on v.polarity = c.polarity and v.compat_id = c.compat_id group by 1, 2, 3"""
 
+_N = "n as (select * from (select *, row_number() over (partition by proto_id order by usage_count desc nulls last, access_count desc nulls last) rn from volatile_negative) where rn = 1)"
+UPSERT_SQL = f"""with {_D}, {_N}, u as (select proto_id, compat_id, size * 2 size from d where merged_count % 3 = 0 union all select proto_id, compat_id, size from n)
+select proto_id, compat_id, round(size, 6) as size from (select * from u union all select proto_id, compat_id, size from d where proto_id not in (select proto_id from u))"""
+INSERT_SQL = "select * from compat_positive union all select * from compat_negative where compat_id not in (select compat_id from compat_positive)"
+_TOP = "t as (select proto_id, compat_id, importance, row_number() over (partition by compat_id order by importance desc, access_count desc nulls last, last_accessed desc nulls last, proto_id) k from d where importance is not null)"
+BOOST_SQL = f"""with {_D}, {_TOP}, h as (select d.*, coalesce(k <= 3, false) hit from d left join t using (proto_id))
+select proto_id, round(case when hit then size * 1.1 else size end, 6) as size, round(case when hit then h.importance * 1.1 else h.importance end, 6) as importance, round(case when hit then access_count * 1.1 else access_count end, 6) as access_count, usage_count + hit::int as usage_count from h"""
+PROMOTE_SQL = f"""with {_D}, m as (select * exclude (rn) from d where importance is not null and merged_count >= 2)
+select proto_id, compat_id, merged_count, row_number() over (partition by compat_id order by importance desc, access_count desc nulls last, last_accessed desc nulls last, proto_id) as rn from m"""
+_BOTH = " union all ".join(f"select compat_id, '{x}' polarity, proto_id, importance, row_number() over (partition by compat_id order by importance desc, access_count desc nulls last, last_accessed desc nulls last, proto_id) k from {t} where importance is not null" for x, t in (("positive", "d"), ("negative", "n")))
+READS_SQL = f"with {_D}, {_N}, u as (select * from ({_BOTH}) where k <= 5) select compat_id, polarity, proto_id, round(case when sum(importance) over w > 0 then importance / sum(importance) over w else 0 end, 8) as share from u window w as (partition by compat_id)"
+
 QUERIES = {
     "vault_decay": (q_decay, DECAY_SQL), "vault_content_hash": (q_hash, HASH_SQL), "vault_top": (q_top, TOP_SQL), "vault_purge": (q_purge, PURGE_SQL), "vault_edges": (q_edges, EDGES_SQL),
     "vault_edge_distance": (q_edge_distance, DIST_SQL), "vault_dangling_edges": (q_dangling, DANGLING_SQL), "vault_reachable": (q_reachable, REACH_SQL), "vault_traversal": (q_traversal, None), "vault_merged": (q_merged, None),
     "vault_hierarchy": (q_hierarchy, None), "vault_compat": (q_compat, COMPAT_SQL),
+    "vault_upsert": (q_upsert, UPSERT_SQL), "vault_insert_ignore": (q_insert_ignore, INSERT_SQL), "vault_boosted": (q_boosted, BOOST_SQL), "vault_promotions": (q_promotions, PROMOTE_SQL), "vault_reads": (q_memory_reads, READS_SQL),
 }

@@ -22,6 +22,9 @@ QUERIES = {
     "label_uniqueness": (labels.q_uniqueness, labels.UNIQUE_SQL),
     "cusum_events": (labels.q_cusum, None),
     "purged_folds": (splits.q_purged, splits.PURGED_SQL),
+    "sample_weights": (labels.q_sample_weights, labels.WEIGHTS_SQL),
+    "combinatorial_folds": (splits.q_combinatorial, splits.CPCV_SQL),
+    "fold_roles": (splits.q_roles, splits.ROLES_SQL),
     "walk_forward_folds": (splits.q_walk_forward, splits.WALK_SQL),
     "signal_backtest": (backtest.q_backtest, backtest.REPORT_SQL),
     "cost_ladder": (backtest.q_costs, backtest.COSTS_SQL),

@@ -11,6 +11,8 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 UNITS = {"m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
@@ -96,6 +98,46 @@ def get_source(name: str) -> Source:
     return SOURCES[name]
 
 
+def interval_name(ms: Column) -> Column:
+    """The name of an interval in milliseconds, null where it has none."""
+    return F.create_map(*[x for n in NAMES for x in (F.lit(interval_to_ms(n)), F.lit(n))])[ms.cast("int")]
+
+
+def parse_pages(pages: DataFrame, source: str) -> DataFrame:
+    """``(stream, ms, open, high, low, close, volume)`` of recorded answers ``(stream, value)`` of one source,
+    parsed in bulk as columns. Short rows and rows with an unreadable stamp are left out; broken and
+    empty answers give nothing."""
+    src = get_source(source)
+    rows = "array<array<string>>"
+    if not src.rows:
+        found = F.from_json("value", rows)
+    elif src.rows[-1] == "*":
+        inner = F.explode(F.from_json("value", f"{src.rows[0]} map<string,string>")[src.rows[0]])
+        pages = pages.select("stream", inner.alias("k", "value")).where("k <> 'last'")
+        found = F.from_json("value", rows)
+    else:
+        found = F.from_json("value", f"{src.rows[0]} struct<{src.rows[1]}: {rows}>")[src.rows[0]][src.rows[1]]
+    one = pages.select("stream", F.explode(found).alias("r")).where(F.size("r") > max(src.columns))
+    ms, *nums = (F.get("r", F.lit(c)).try_cast("double") for c in src.columns)
+    return one.select("stream", (ms * src.unit).cast("bigint").alias("ms"), *[x.alias(n) for n, x in zip(("open", "high", "low", "close", "volume"), nums, strict=True)]).where("ms is not null")
+
+
+def format_pages(bars: DataFrame, source: str, page: int = 500) -> DataFrame:
+    """Bars of ``(stream, i, us, open .. volume)`` as answers in a source's shape, ``page`` bars each, with a
+    short row at the end; Bybit's begin with the latest."""
+    src = get_source(source)
+    width = max(src.columns) + 1
+    fields = dict(zip(src.columns, (F.expr(f"cast(us div {1000 * src.unit} as string)"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")]), strict=True))
+    row = F.array(*[fields.get(k, F.lit("0")) for k in range(width)])
+    rows = F.sort_array(F.collect_list(F.struct("i", row.alias("r"))), asc=source != "bybit")["r"]
+    listed = F.concat(rows, F.array(F.array(F.lit("1"))))
+    body = F.to_json(listed)
+    if src.rows:
+        name = "PAIR" if src.rows[-1] == "*" else src.rows[1]
+        body = F.concat(F.lit(f'{{"{src.rows[0]}":{{"{name}":'), body, F.lit(',"last":1}}' if src.rows[-1] == "*" else "}}"))
+    return bars.groupBy("stream", F.expr(f"i div {page}").alias("page")).agg(body.alias("value")).select("stream", "value")
+
+
 def http_json(url: str, fetch: Callable[[str], bytes] | None = None, retries: int = 4, delay: float = 0.5, sleep=time.sleep):
     """GET and parse, waiting twice as long after each refusal that may pass."""
     fetch = fetch or (lambda u: urllib.request.urlopen(u, timeout=15).read())
