@@ -10,7 +10,8 @@ def test_gates_and_scores(spark):
     one = spark.range(1).select(M.surprise_gate(F.lit(1.0)), M.surprise_gate(F.lit(0.0)), M.clamp01(F.lit(float("nan"))), M.reinforced(F.lit(2.0), 1.0, 0.5)).first()
     assert tuple(one) == (0.1, 1.0, 0.0, 2.0)
     rows = spark.createDataFrame([("k", i, float(i % 4)) for i in range(10)], "k string, t int, s double")
-    assert sorted(r["t"] for r in M.keep_best(rows, "k", F.col("s") * 100 - F.col("t"), F.col("t"), 2, 2).collect()) == [3, 7, 8, 9]
+    scored = rows.withColumn("x", F.col("s") * 100 - F.col("t"))
+    assert sorted(r["t"] for r in M.keep_best(scored, "k", "t", "x", "t", 2, 2).collect()) == [3, 7, 8, 9]
     dup = spark.createDataFrame([("h", "b", 1.0), ("h", "a", 1.0), ("g", "c", None)], "hash string, proto_id string, s double")
     assert sorted(r["proto_id"] for r in M.deduped_by_hash(dup, "hash", "s").collect()) == ["a", "c"]
 

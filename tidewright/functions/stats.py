@@ -36,6 +36,15 @@ def normal_cdf(x: Column) -> Column:
     return (1 + erf(x / math.sqrt(2))) / 2
 
 
+def normal_cdf_sql(x: str) -> str:
+    """The same as an SQL expression of ``x``, for the twins."""
+    t = f"(1 / (1 + {ERF_P!r} * abs({x}) / sqrt(2)))"
+    poly = "0.0"
+    for a in reversed(ERF_A):
+        poly = f"({poly} * {t} + {a!r})"
+    return f"((1 + sign({x}) * (1 - {poly} * {t} * exp(-({x}) * ({x}) / 2))) / 2)"
+
+
 def normal_cdf_value(x: float) -> float:
     t = 1 / (1 + ERF_P * abs(x) / math.sqrt(2))
     e = 1 - _poly(t, reversed(ERF_A)) * t * math.exp(-x * x / 2)

@@ -109,14 +109,6 @@ def _sharpe_sql(x: str, scale: str = "sqrt(252)") -> str:
     return f"case when count({x}) >= 2 then case when stddev_samp({x}) > 1e-15 then avg({x}) / stddev_samp({x}) * {scale} else 0 end end"
 
 
-def _cdf_sql(x: str) -> str:
-    t = f"(1 / (1 + {stats.ERF_P!r} * abs({x}) / sqrt(2)))"
-    poly = "0.0"
-    for a in reversed(stats.ERF_A):
-        poly = f"({poly} * {t} + {a!r})"
-    return f"((1 + sign({x}) * (1 - {poly} * {t} * exp(-({x}) * ({x}) / 2))) / 2)"
-
-
 REPORT_SQL = STRATEGY_SQL + f""", e as (select *, sum(ln(greatest(1 + net, 1e-12))) over (partition by stream order by i) le from s3),
 kk as (select *, 1 - exp(le - greatest(0, max(le) over (partition by stream order by i))) dd, avg(net) over (partition by stream) mu from e),
 ag as (select stream, count(*) n, {_sharpe_sql('net')} ns, {_sharpe_sql('gross')} gs, max(dd) md, avg(case when held <> 0 then (net > 0)::int end) hr, sum(chg) tv,
@@ -126,8 +118,8 @@ mm as (select *, ns / sqrt(252) sr, case when sp <= 1e-15 then 0 else m3 / pow(s
 vv as (select *, 1 - sk * sr + (ku - 1) / 4 * sr * sr v from mm)
 select stream, n as bars, tr as trades, round(ns, 6) as net_sharpe, round(gs, 6) as gross_sharpe, round(md, 6) as max_drawdown, round(hr, 6) as hit_rate, round(tv, 6) as turnover,
   round(tc, 6) as total_cost, round(gp, 6) as gross_pnl, round(fe, 6) as final_equity, round(im, 6) as in_market, round(ap, 6) as mean_abs_position,
-  round(case when n >= 2 and v > 0 then {_cdf_sql('(sr * sqrt(n - 1) / sqrt(v))')} end, 6) as psr,
-  round(case when n >= 2 and v > 0 then {_cdf_sql(f'((sr - sqrt((1 + sr * sr / 2) / (n - 1)) * {stats.expected_max_factor(TRIALS)!r}) * sqrt(n - 1) / sqrt(v))')} end, 6) as dsr,
+  round(case when n >= 2 and v > 0 then {stats.normal_cdf_sql('(sr * sqrt(n - 1) / sqrt(v))')} end, 6) as psr,
+  round(case when n >= 2 and v > 0 then {stats.normal_cdf_sql(f'((sr - sqrt((1 + sr * sr / 2) / (n - 1)) * {stats.expected_max_factor(TRIALS)!r}) * sqrt(n - 1) / sqrt(v))')} end, 6) as dsr,
   round(case when tv > 1e-9 then 1e4 * gp / tv end, 6) as break_even_bps from vv"""
 COSTS_SQL = STRATEGY_SQL + f""", l as (select stream, l::double as level, gross - chg * l / 1e4 net from s3, (select unnest([0.0, 2.0, 5.0, 10.0]) l))
 select stream, level, round(sum(net), 8) as net_pnl, round({_sharpe_sql('net')}, 6) as net_sharpe from l group by 1, 2"""

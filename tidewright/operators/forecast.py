@@ -218,6 +218,35 @@ def brier_decomposition(pairs: DataFrame, bins: int = 10) -> DataFrame:
     return j.select("stream", "n", *[F.round(x, 8).alias(a) for a, x in (("brier", F.col("brier")), ("reliability", F.col("reliability")), ("resolution", F.col("resolution")), ("uncertainty", unc), ("within", F.col("brier") - (F.col("reliability") - F.col("resolution") + unc)))])
 
 
+SPANS, WINDOW, ETA = (1, 5, 22), 60, 2.0
+
+
+def rolling_combination(rows: DataFrame, spans: tuple[int, ...] = SPANS, window: int = WINDOW, eta: float = ETA) -> DataFrame:
+    """Per stream the mean squared errors of forecasts of a bar's absolute return, the means of the last ``spans``
+    values, and of their combinations: equal, inverse and Gibbs weights by the errors of the ``window`` bars
+    before. Everything is a frame behind the bar; bars without a full window are not scored."""
+    w = order()
+    a = F.abs("ret")
+    rows = rows.withColumn("y", a)
+    f = {f"f{k}": F.when(F.count("y").over(w.rowsBetween(-k, -1)) == k, F.avg("y").over(w.rowsBetween(-k, -1))) for k in spans}
+    rows = rows.withColumns(f).withColumns({f"e{k}": F.pow(F.col("y") - F.col(f"f{k}"), F.lit(2)) for k in spans})
+    back = w.rowsBetween(-window, -1)
+    rows = rows.withColumns({f"m{k}": F.when(F.count(f"e{k}").over(back) == window, F.avg(f"e{k}").over(back)) for k in spans})
+    ok = F.least(*[F.col(f"m{k}") for k in spans]) > 0
+    for k in spans:
+        ok = ok & F.col(f"m{k}").isNotNull()
+    rows = own(rows).where(F.coalesce(ok, F.lit(False)))
+    least = F.least(*[F.col(f"m{k}") for k in spans])
+    raw = {"eq": lambda k: F.lit(1.0), "inv": lambda k: 1 / F.col(f"m{k}"), "gibbs": lambda k: F.exp(-eta * (F.col(f"m{k}") / least - 1))}
+    combined = {n: sum((g(k) * F.col(f"f{k}") for k in spans), F.lit(0.0)) / sum((g(k) for k in spans), F.lit(0.0)) for n, g in raw.items()}
+    rows = rows.withColumns({f"c_{n}": F.pow(F.col("y") - x, F.lit(2)) for n, x in combined.items()})
+    return rows.groupBy("stream").agg(F.count(F.lit(1)).alias("scored"), *[F.round(F.avg(f"e{k}") * 1e8, 4).alias(f"mse_{k}") for k in spans], *[F.round(F.avg(f"c_{n}") * 1e8, 4).alias(f"mse_{n}") for n in combined])
+
+
+def q_combination(spark, sf_dir):
+    return rolling_combination(bar_returns(with_halo(indexed(bars(table(spark, sf_dir, "candles"))))))
+
+
 def q_volatility(spark, sf_dir):
     out = volatilities(table(spark, sf_dir, "candles"))
     return out.select("stream", "us", *[F.round(c, 8).alias(c) for c in ("realized", "parkinson_vol", "garman_klass_vol", "rogers_satchell_vol", "yang_zhang")])
@@ -266,4 +295,18 @@ select stream, n, round(br, 8) as brier, round(rel, 8) as reliability, round(res
 AR1_SQL = f"""with {BARS_SQL}, x as (select stream, abs(ret) x, abs(lag(ret) over (partition by stream order by i)) l from r)
 select stream, round(regr_slope(x, l), 8) as slope, round(regr_intercept(x, l), 8) as intercept, round(regr_r2(x, l), 8) as r2 from x where l is not null group by 1"""
 
-QUERIES = {"volatility": (q_volatility, VOL_SQL), "volatility_tournament": (q_tournament, None), "brier_decomposition": (q_brier, BRIER_SQL), "forecast_scores": (q_scores, SCORES_SQL), "ar1_fit": (q_ar1, AR1_SQL)}
+_FC = ", ".join(f"case when count(y) over (partition by stream order by i rows between {k} preceding and 1 preceding) = {k} then avg(y) over (partition by stream order by i rows between {k} preceding and 1 preceding) end f{k}" for k in SPANS)
+_MS = ", ".join(f"case when count(e{k}) over w = {WINDOW} then avg(e{k}) over w end m{k}" for k in SPANS)
+_BESTM = "least(" + ", ".join(f"m{k}" for k in SPANS) + ")"
+
+
+def _combined(g) -> str:
+    return "(" + " + ".join(f"({g(k)}) * f{k}" for k in SPANS) + ") / (" + " + ".join(f"({g(k)})" for k in SPANS) + ")"
+
+
+COMBINATION_SQL = f"""with {BARS_SQL}, y as (select stream, i, abs(ret) y from r), f as (select *, {_FC} from y), e as (select *, {", ".join(f"pow(y - f{k}, 2) e{k}" for k in SPANS)} from f),
+ms as (select *, {_MS} from e window w as (partition by stream order by i rows between {WINDOW} preceding and 1 preceding)), ok as (select * from ms where {" and ".join(f"m{k} > 0" for k in SPANS)}),
+cb as (select *, pow(y - {_combined(lambda k: '1.0')}, 2) ceq, pow(y - {_combined(lambda k: f'1 / m{k}')}, 2) cinv, pow(y - {_combined(lambda k: f'exp(-{ETA} * (m{k} / {_BESTM} - 1))')}, 2) cg from ok)
+select stream, count(*) as scored, {", ".join(f"round(avg(e{k}) * 1e8, 4) as mse_{k}" for k in SPANS)}, round(avg(ceq) * 1e8, 4) as mse_eq, round(avg(cinv) * 1e8, 4) as mse_inv, round(avg(cg) * 1e8, 4) as mse_gibbs from cb group by 1"""
+
+QUERIES = {"volatility": (q_volatility, VOL_SQL), "volatility_tournament": (q_tournament, None), "brier_decomposition": (q_brier, BRIER_SQL), "forecast_scores": (q_scores, SCORES_SQL), "ar1_fit": (q_ar1, AR1_SQL), "rolling_combination": (q_combination, COMBINATION_SQL)}

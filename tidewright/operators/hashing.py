@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions import stats
 from tidewright.session import cut, join_small, table
 
 TABLES, BITS = 8, 10
@@ -239,6 +240,33 @@ def containment_depth(margins: list[float], flips: list[float], coverage: float
     return len(by)
 
 
+def bit_reliability(words: DataFrame, share: float = 0.1) -> DataFrame:
+    """Per table and bit of ``sign_words``: the variance of the margin, the chance that noise of ``share`` of the
+    tables' mean variance turns the bit, its entropy, the information and weight left, and its rank by weight."""
+    flat = words.select("table", F.posexplode("margins").alias("bit", "m"))
+    per = flat.groupBy("table", "bit").agg(F.var_pop("m").alias("variance"))  # a row a bit
+    noise = F.avg("variance").over(Window.partitionBy("table")) * share
+    q = F.acos(F.sqrt(F.col("variance") / (F.col("variance") + F.col("noise")))) / math.pi
+    per = per.withColumn("noise", noise).withColumn("flip", F.when(F.col("variance") + F.col("noise") > 0, q).otherwise(0.5))
+    flip = F.col("flip")
+    entropy = F.when((flip <= 0) | (flip >= 1), 0.0).otherwise(-flip * F.log2(flip) - (1 - flip) * F.log2(1 - flip))
+    rank = F.row_number().over(Window.partitionBy("table").orderBy("flip", "bit"))
+    return per.select("table", "bit", "variance", "flip", entropy.alias("entropy"), (1 - entropy).alias("information"), (1 - 2 * flip).alias("weight"), rank.alias("rank"))
+
+
+def flips(words: DataFrame, sigma: float, coverage: float = 0.9) -> DataFrame:
+    """``(id, table, expected, none, depth)`` under noise of deviation ``sigma`` on the margins: how many bits turn on
+    average, the chance that none does, and how many of the least certain bits must be probed so that no
+    other has turned with chance ``coverage``."""
+    q = F.transform(F.array_sort(F.transform("margins", lambda x, i: F.struct(F.abs(x).alias("m"), i.alias("i")))), lambda s: 1 - stats.normal_cdf(s["m"] / sigma))
+    rows = words.select("id", "table", q.alias("q"))
+    kept = lambda a: F.aggregate(a, F.lit(1.0), lambda p, x: p * (1 - x))
+    bits = F.size("q")
+    # the chance grows with every bit left out, so the depth is the number of prefixes that do not suffice
+    short = F.filter(F.sequence(F.lit(1), bits), lambda k: kept(F.slice("q", k, bits)) < coverage)
+    return rows.select("id", "table", F.aggregate("q", F.lit(0.0), lambda s, x: s + x).alias("expected"), kept(F.col("q")).alias("none"), F.size(short).alias("depth"))
+
+
 def weighted_hamming(a: Column, b: Column, weights: list[float]) -> Column:
     """Sum of the weights of the bits in which two words differ."""
     x = a.bitwiseXOR(b)
@@ -256,22 +284,34 @@ def principal_components(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndar
     return v[:, ::-1][:, :count].T, w[::-1][:count]
 
 
-def covariance(vectors: DataFrame, vector: str, dim: int) -> np.ndarray:
-    """Population covariance from per-partition sums: what leaves a task is one matrix."""
+def covariance_cells(vectors: DataFrame, vector: str, dim: int) -> DataFrame:
+    """``(i, j, cov)`` for i <= j, the population covariance: every task sums its products into one matrix, and
+    the matrices are added cell by cell in an aggregate. Vectors of another length or with nulls are left out."""
 
     def run(frames):
         import pandas as pd
 
         n, s, ss = 0, np.zeros(dim), np.zeros((dim, dim))
         for f in frames:
-            x = np.stack(f[vector]).astype(np.float64) if len(f) else np.zeros((0, dim))
-            n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
-        yield pd.DataFrame({"n": [n], "s": [s], "ss": [ss.ravel()]})
+            if len(f):
+                x = np.stack(f[vector]).astype(np.float64)
+                n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
+        a, b = np.triu_indices(dim)
+        if n:
+            yield pd.DataFrame({"i": a.astype(np.int32), "j": b.astype(np.int32), "n": np.full(len(a), n), "si": s[a], "sj": s[b], "ss": ss[a, b]})
 
-    parts = vectors.select(vector).where(F.size(vector) == dim).mapInPandas(run, "n bigint, s array<double>, ss array<double>").toPandas()
-    n = parts["n"].sum()
-    s, ss = np.stack(parts["s"]).sum(0), np.stack(parts["ss"]).sum(0).reshape(dim, dim)
-    return ss / n - np.outer(s / n, s / n)
+    fine = vectors.select(vector).where((F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull()))
+    parts = fine.mapInPandas(run, "i int, j int, n bigint, si double, sj double, ss double")
+    t = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "ss")])
+    return t.select("i", "j", (F.col("ss") / F.col("n") - F.col("si") / F.col("n") * F.col("sj") / F.col("n")).alias("cov"))
+
+
+def covariance(vectors: DataFrame, vector: str, dim: int) -> np.ndarray:
+    """``covariance_cells`` as a matrix of ``dim`` x ``dim``."""
+    out = np.zeros((dim, dim))
+    for r in covariance_cells(vectors, vector, dim).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["cov"]
+    return out
 
 
 def aligned_planes(cov: np.ndarray, tables: int = TABLES, bits: int = BITS, seed: int = 1) -> np.ndarray:
@@ -308,6 +348,39 @@ def q_weighted_hamming(spark, sf_dir):
     return j.select("vec_id", F.round(weighted_hamming(F.col("word"), F.col("w0"), [1 / (i + 1) for i in range(BITS)]), 6).alias("distance"))
 
 
+def _words(spark, sf_dir, tables: int = 1):
+    return sign_words(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", planes(64, tables))
+
+
+def q_reliability(spark, sf_dir):
+    out = bit_reliability(_words(spark, sf_dir, 2))
+    return out.select("table", "bit", F.round("variance", 4).alias("variance"), *[F.round(c, 8).alias(c) for c in ("flip", "entropy", "information", "weight")], "rank")
+
+
+def q_probe_keys(spark, sf_dir):
+    """The word of every vector and the three words with one of its least certain bits turned, in that order."""
+    keys = _words(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(single_bit_keys(F.col("word"), F.col("margins"), 3)).alias("place", "key"))
+    return keys
+
+
+def q_flips(spark, sf_dir):
+    out = flips(_words(spark, sf_dir), 300.0)
+    return out.select(F.col("id").alias("vec_id"), F.round("expected", 7).alias("expected"), F.round("none", 7).alias("none"), "depth")
+
+
+def q_covariance(spark, sf_dir):
+    out = covariance_cells(table(spark, sf_dir, "embeddings"), "embedding", 64)
+    return out.select("i", "j", F.round("cov", 9).alias("cov"))
+
+
+def q_collisions(spark, sf_dir):
+    """Per label: the chance that a member's bit equals its label mean's, on average, and that of the average cosine."""
+    e = table(spark, sf_dir, "embeddings")
+    m = cut(mean_vectors(e, "label", "embedding"))
+    j = join_small(e, m.withColumnRenamed("label", "l"), F.col("label") == F.col("l"), row_bytes=800).withColumn("c", F.round(cosine(F.col("embedding"), F.col("mean")), 9))
+    return j.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.round(F.avg(collision_probability(F.col("c"))), 7).alias("average"), F.round(collision_probability(F.avg("c")), 7).alias("first_order"))
+
+
 def _bit(t: int, b: int) -> str:
     return f"(list_sum(list_transform(list_zip(embedding, [{', '.join(str(plane_value(t, b, j)) for j in range(64))}]), lambda z: z[1]::double * z[2])) > 0)::bigint * {1 << b}"
 
@@ -320,4 +393,25 @@ from e join m using (label)""".replace("from e join", "from embeddings e join")
 HAMMING_SQL = f"""with w as (select vec_id, label, {_WORD[0]} word from embeddings), f as (select label, arg_min(word, vec_id) w0 from w group by 1)
 select vec_id, round({' + '.join(f"((xor(word::bigint, w0::bigint) >> {i}) & 1) * {1 / (i + 1)!r}::double" for i in range(BITS))}, 6) as distance from w join f using (label)"""
 
-QUERIES = {"sign_words": (q_words, WORDS_SQL), "bucket_nearest": (q_nearest, None), "label_mean_cosine": (q_label_means, MEANS_SQL), "weighted_hamming": (q_weighted_hamming, HAMMING_SQL)}
+_MARGIN = "list_sum(list_transform(list_zip(embedding, [{v}]), lambda z: z[1]::double * z[2]))"
+
+
+def _margins_sql(tables: int) -> str:
+    one = " union all ".join(f"select vec_id, {t}::int tb, {b}::int bit, " + _MARGIN.format(v=", ".join(str(plane_value(t, b, j)) for j in range(64))) + " m from embeddings" for t in range(tables) for b in range(BITS))
+    return f"mg as ({one})"
+
+
+RELIABILITY_SQL = f"""with {_margins_sql(2)}, v as (select tb, bit, var_pop(m) v from mg group by 1, 2), n as (select *, avg(v) over (partition by tb) * 0.1 n from v), f as (select *, acos(sqrt(v / (v + n))) / pi() q from n),
+e as (select *, case when q <= 0 or q >= 1 then 0 else -q * log2(q) - (1 - q) * log2(1 - q) end h from f)
+select tb as "table", bit, round(v, 4) as variance, round(q, 8) as flip, round(h, 8) as entropy, round(1 - h, 8) as information, round(1 - 2 * q, 8) as weight, row_number() over (partition by tb order by q, bit) as rank from e"""
+PROBE_SQL = f"""with {_margins_sql(1)}, w as (select vec_id, sum((m > 0)::int::bigint << bit)::bigint word from mg group by 1), o as (select vec_id, bit, row_number() over (partition by vec_id order by abs(m), bit) place from mg)
+select vec_id, 0 as place, word as key from w union all select vec_id, place::int, xor(word, (1::bigint << bit)) from o join w using (vec_id) where place <= 3"""
+FLIPS_SQL = f"""with {_margins_sql(1)}, q as (select vec_id, 1 - {{cdf}} q, row_number() over (partition by vec_id order by abs(m), bit) k from mg), s as (select *, exp(sum(ln(1 - q)) over (partition by vec_id order by k desc)) left_ from q)
+select vec_id, round(sum(q), 7) as expected, round(max(left_) filter (where k = 1), 7) as none, count_if(left_ < 0.9)::int as depth from s group by 1"""
+COVARIANCE_SQL = """with f as (select vec_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) - 1 j from embeddings)
+select a.j::int as i, b.j::int as j, round(covar_pop(a.x, b.x), 9) as cov from f a join f b on a.vec_id = b.vec_id and a.j <= b.j group by 1, 2"""
+COLLISION_SQL = MEANS_SQL.replace("select vec_id, e.label, round(", "select e.label, round(").replace(", 6) as cosine", ", 9) c")
+COLLISION_SQL = f"select label, count(*) as members, round(avg(1 - acos(greatest(-1, least(1, c))) / pi()), 7) as average, round(1 - acos(greatest(-1, least(1, avg(c)))) / pi(), 7) as first_order from ({COLLISION_SQL}) group by 1"
+
+QUERIES = {"sign_words": (q_words, WORDS_SQL), "bucket_nearest": (q_nearest, None), "label_mean_cosine": (q_label_means, MEANS_SQL), "weighted_hamming": (q_weighted_hamming, HAMMING_SQL),
+    "bit_reliability": (q_reliability, RELIABILITY_SQL), "probe_keys": (q_probe_keys, PROBE_SQL), "bit_flips": (q_flips, FLIPS_SQL.format(cdf=stats.normal_cdf_sql("(abs(m) / 300.0)"))), "embedding_covariance": (q_covariance, COVARIANCE_SQL), "label_collisions": (q_collisions, COLLISION_SQL)}

@@ -49,11 +49,14 @@ def quality() -> Column:
     return F.col("importance") * F.ln(base(1 + F.col("access_count") + 1e-8)) * powers
 
 
-def keep_best(rows: DataFrame, key: str, score: Column, recency: Column, recent: int, best: int) -> DataFrame:
-    """Of every key the ``recent`` newest entries and the ``best`` highest of the rest."""
-    a = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(recency.desc())))
-    b = a.withColumn("_s", F.row_number().over(Window.partitionBy(key, F.col("_r") <= recent).orderBy(score.desc())))
-    return b.where((F.col("_r") <= recent) | (F.col("_s") <= best)).drop("_r", "_s")
+def keep_best(rows: DataFrame, key: str, ident: str, score: str, recency: str, recent: int, best: int) -> DataFrame:
+    """Of every key the ``recent`` newest entries and the ``best`` highest of the rest, ties to the smaller
+    ``ident``. Both ranks are limits, so Spark keeps no more than that many rows of a key in a task."""
+    new = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(recency).desc_nulls_last(), ident))).where(F.col("_r") <= recent).drop("_r")
+    new = cut(new)
+    rest = rows.join(new.select(F.col(ident).alias("_k")), F.col(ident) == F.col("_k"), "left_anti")
+    high = rest.withColumn("_s", F.row_number().over(Window.partitionBy(key).orderBy(F.col(score).desc_nulls_last(), ident))).where(F.col("_s") <= best).drop("_s")
+    return new.withColumn("kept_as", F.lit("recent")).unionByName(high.withColumn("kept_as", F.lit("best")))
 
 
 def deduped_by_hash(rows: DataFrame, digest: str, score: str) -> DataFrame:
@@ -156,10 +159,13 @@ def percentile_at(x: np.ndarray, p: float) -> float:
     return v or 1.0
 
 
-def sudden_drop(history: np.ndarray, current: float) -> float:
-    """1, 1.8 or 3 by how far the current value lies below the recent mean."""
-    gap = history.mean() - current if len(history) else 0.0
-    return 3.0 if gap > 0.15 else 1.8 if gap > 0.05 else 1.0
+def sudden_drop(history: np.ndarray, current: float, least: float = 0.05) -> float:
+    """1, 1.8 or 3 by how far the current value lies below the recent mean, in deviations of the recent values:
+    more than one, more than two; a gap under ``least`` is none."""
+    if len(history) < 2:
+        return 1.0
+    gap, spread = history.mean() - current, max(float(history.std()), least)
+    return 3.0 if gap > 2 * spread else 1.8 if gap > spread else 1.0
 
 
 def stagnating(history: np.ndarray, least_var: float = 1e-4, least_gain: float = 1e-3) -> bool:
@@ -216,6 +222,20 @@ def q_pooled(spark, sf_dir):
     return e.groupBy("label", "block").applyInPandas(lambda pdf: run(pdf), "label int, block bigint, prototypes int, largest int")
 
 
+def q_pruned(spark, sf_dir):
+    """What is kept of each compat_id: the three last used and the five most important of the others."""
+    from tidewright.operators.vault import distinct_protos
+
+    p = distinct_protos(table(spark, sf_dir, "volatile_positive")).select("proto_id", "compat_id", "importance", "last_accessed")
+    return keep_best(p, "compat_id", "proto_id", "importance", "last_accessed", 3, 5).select("compat_id", "proto_id", "kept_as")
+
+
+def q_deduped(spark, sf_dir):
+    """Of the prototypes of both banks with one hash the most important one."""
+    both = [table(spark, sf_dir, f"volatile_{x}").select("proto_id", "hash", "importance") for x in ("positive", "negative")]
+    return deduped_by_hash(both[0].unionByName(both[1]).distinct(), "hash", "importance").select("hash", "proto_id", "importance")
+
+
 _D = "d as (select * from (select *, row_number() over (partition by proto_id order by usage_count desc nulls last, access_count desc nulls last) rn from volatile_positive) where rn = 1)"
 _BASE = "case when 1 + list_avg({c}) <= 0 then 1e-8 else 1 + list_avg({c}) end"
 UTILITY_SQL = f"""with {_D} select proto_id, round(sqrt(size * access_count) * (1 + sqrt(list_sum(variance) / len(variance))) * importance, 6) as utility,
@@ -224,4 +244,10 @@ SURPRISE_SQL = f"""with {_D}, f as (select compat_id, unnest(mean) x, generate_s
 s as (select proto_id, round(list_sum(list_transform(list_zip(mean, c), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(mean, lambda x: x * x))) * sqrt(list_sum(list_transform(c, lambda x: x * x)))), 9) sim from d join m using (compat_id))
 select proto_id, round(sim, 6) as similarity, round(0.1 + 0.9 * pow(1 - greatest(0, least(1, sim)), 2), 6) as gate from s"""
 
-QUERIES = {"memory_utility": (q_utility, UTILITY_SQL), "memory_surprise": (q_surprise, SURPRISE_SQL), "memory_pooled": (q_pooled, None)}
+PRUNED_SQL = f"""with {_D}, n as (select compat_id, proto_id from (select *, row_number() over (partition by compat_id order by last_accessed desc nulls last, proto_id) k from d) where k <= 3),
+h as (select compat_id, proto_id from (select *, row_number() over (partition by compat_id order by importance desc nulls last, proto_id) k from d where proto_id not in (select proto_id from n)) where k <= 5)
+select compat_id, proto_id, 'recent' as kept_as from n union all select compat_id, proto_id, 'best' from h"""
+DEDUPED_SQL = """with u as (select proto_id, hash, importance from volatile_positive union select proto_id, hash, importance from volatile_negative)
+select hash, proto_id, importance from (select *, row_number() over (partition by hash order by importance desc nulls last, proto_id) k from u) where k = 1"""
+
+QUERIES = {"memory_utility": (q_utility, UTILITY_SQL), "memory_surprise": (q_surprise, SURPRISE_SQL), "memory_pooled": (q_pooled, None), "memory_pruned": (q_pruned, PRUNED_SQL), "memory_deduped": (q_deduped, DEDUPED_SQL)}

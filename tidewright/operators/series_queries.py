@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.operators import quality
@@ -189,6 +190,58 @@ def q_panel_files(spark, sf_dir):
     return parse_panel(part.select(F.to_json(doc).alias("value")))
 
 
+def q_tail(spark, sf_dir):
+    """The last three bars of every stream; a limit by rank, kept small before the shuffle."""
+    w = Window.partitionBy("stream").orderBy(F.col("us").desc())
+    return bars(table(spark, sf_dir, "candles")).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("stream", "us", "close", "rn")
+
+
+def q_missing_days(spark, sf_dir):
+    """Days of a stream's windows on which it has no bar: the windows' calendar less the days present."""
+    man = table(spark, sf_dir, "candle_manifest")
+    last = F.to_date(F.timestamp_micros(F.unix_micros("window_end") - 1))
+    calendar = man.select("stream", F.explode(F.sequence(F.to_date("window_start"), last)).alias("day"))
+    have = bars(table(spark, sf_dir, "candles")).select("stream", F.to_date(F.timestamp_micros("us")).alias("day"))
+    return calendar.exceptAll(calendar.intersect(have)).distinct().select("stream", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+def q_venues(spark, sf_dir):
+    """Windows and milliseconds collected per symbol, a column for each of three interval classes."""
+    man = table(spark, sf_dir, "candle_manifest")
+    kind = F.when(F.col("interval_ms") < 3_600_000, "minutes").when(F.col("interval_ms") < 86_400_000, "hours").otherwise("days")
+    span = F.unix_millis("window_end") - F.unix_millis("window_start")
+    return man.withColumn("kind", kind).withColumn("span", span).groupBy("venue").pivot("kind", ["minutes", "hours", "days"]).agg(F.count(F.lit(1)).alias("windows"), F.sum("span").alias("span"))
+
+
+def q_names(spark, sf_dir):
+    """A stream's name taken apart: base and quote currency, interval, venue, and a key of them."""
+    s = table(spark, sf_dir, "candle_manifest").select("stream", "symbol", "venue").distinct()
+    base = F.regexp_replace("symbol", "(USDT|USDC|USD|EUR)$", "")
+    interval = F.substring_index("stream", ":", -1)
+    return s.select("stream", base.alias("base"), F.substring(F.col("symbol"), F.length(base) + 1, F.lit(9)).alias("quote"), interval.alias("interval"), F.concat_ws("/", F.lower(base), F.upper("venue"), interval).alias("key"), F.length("symbol").alias("chars"))
+
+
+def q_relations(spark, sf_dir):
+    """Of every controller its peers (same section and layer, another cluster) and its children (same
+    section, a lower layer) in the controller tree."""
+    from tidewright.operators.consensus import structure
+
+    t = cut(structure(spark, 3, 3, 4, 2))
+    o = t.select(F.col("group").alias("g"), F.col("section").alias("s"), F.col("layer").alias("l"), F.col("cluster").alias("c"))
+    same = (F.col("group") == F.col("g")) & (F.col("section") == F.col("s"))
+    j = t.join(F.broadcast(o), same)  # 72 rows
+    peer = (F.col("layer") == F.col("l")) & (F.col("cluster") != F.col("c"))
+    return j.groupBy("group", "section", "layer", "cluster").agg(F.count_if(peer).alias("peers"), F.count_if(F.col("l") < F.col("layer")).alias("children"))
+
+
+def q_fingerprints(spark, sf_dir):
+    """FNV-1a over the bytes of every compatibility, as 8 hex digits."""
+    mask = F.lit(4294967295)
+    h = F.aggregate(F.split("compatibility", ""), F.lit(2166136261).cast("bigint"), lambda a, c: (a.bitwiseXOR(F.ascii(c).cast("bigint")) * F.lit(16777619)).bitwiseAND(mask))
+    both = table(spark, sf_dir, "compat_positive").select("compatibility").unionByName(table(spark, sf_dir, "compat_negative").select("compatibility")).distinct()
+    return both.select("compatibility", F.lpad(F.lower(F.hex(h)), 8, "0").alias("fingerprint"))
+
+
 _FIELDS = ("open", "high", "low", "close", "volume")
 FILTERS_SQL = "select stream, count(*) as rows, " + ", ".join(f"count_if({f} is not null and isfinite({f})) as valid_{f}" for f in _FIELDS) + ", count(ts) as valid_ts, " + f"""
   count_if(low < least(open, close) * 0.5 or high > greatest(open, close) * 1.5) as implausible, round(sum(case when volume is not null and isfinite(volume) then volume else 0 end), 3) as volume from candles group by 1"""
@@ -208,10 +261,26 @@ select source, stream, count(*) as bars, min(us // (1000 * unit) * unit) as firs
 FUNDING_LINES_SQL = f"with {_FUND} select distinct stream, us // 1000 * 1000 as us, rate, mark from f"
 PANEL_FILES_SQL = f"with {_FUND} select stream as symbol, us // 28800000000 * 28800000 as ms, max(mark) as value from f where mark is not null group by 1, 2 having max(mark) > 0"
 
+TAIL_SQL = f"with {BARS_SQL}, t as (select stream, us, close, row_number() over (partition by stream order by us desc) rn from b) select * from t where rn <= 3"
+MISSING_SQL = f"""with {BARS_SQL}, c as (select distinct stream, unnest(generate_series(cast(window_start as date), cast(make_timestamp(epoch_us(window_end) - 1) as date), interval 1 day))::date as day from candle_manifest)
+select stream, strftime(day, '%Y-%m-%d') as day from (select stream, day from c except select stream, make_timestamp(us)::date from b)"""
+VENUES_SQL = "select venue, " + ", ".join(
+    f"nullif(count_if({w}), 0) as {k}_windows, sum(epoch_ms(window_end) - epoch_ms(window_start)) filter (where {w})::bigint as {k}_span"
+    for k, w in (("minutes", "interval_ms < 3600000"), ("hours", "interval_ms >= 3600000 and interval_ms < 86400000"), ("days", "interval_ms >= 86400000"))
+) + " from candle_manifest group by 1"
+NAMES_SQL = """with s as (select distinct stream, symbol, venue, regexp_replace(symbol, '(USDT|USDC|USD|EUR)$', '') b, split_part(stream, ':', -1) i from candle_manifest)
+select stream, b as base, substring(symbol, length(b) + 1) as quote, i as "interval", lower(b) || '/' || upper(venue) || '/' || i as "key", length(symbol)::int as chars from s"""
+RELATIONS_SQL = """with t as (select g.i::int g, s.i::int s, l.i::int l, c.i::int c from range(3) g(i), range(3) s(i), range(4) l(i), range(2) c(i))
+select a.g as "group", a.s as section, a.l as layer, a.c as cluster, count_if(b.l = a.l and b.c <> a.c) as peers, count_if(b.l < a.l) as children from t a join t b on a.g = b.g and a.s = b.s group by 1, 2, 3, 4"""
+FINGERPRINTS_SQL = """with u as (select compatibility from compat_positive union select compatibility from compat_negative),
+h as (select compatibility, list_reduce(list_transform(string_split(compatibility, ''), lambda c: ascii(c)::bigint), lambda a, x: ((xor(a, x)::hugeint * 16777619) % 4294967296)::bigint, 2166136261::bigint) v from u)
+select compatibility, lpad(lower(to_hex(v)), 8, '0') as fingerprint from h"""
+
 QUERIES = {
     "candles_audit": (q_audit, AUDIT_SQL), "repaired_wicks": (q_repair, REPAIR_SQL), "bar_gaps": (q_gaps, GAPS_SQL), "bar_summary": (q_summary, SUMMARY_SQL),
     "resampled_bars": (q_resampled, RESAMPLE_SQL), "jsonl_round_trip": (q_jsonl, JSONL_SQL), "funding_audit": (q_funding_audit, FUNDING_SQL),
     "carry_asof": (q_carry, CARRY_SQL), "carry_view": (q_carry_view, VIEW_SQL),
     "row_filters": (q_filters, FILTERS_SQL), "implausible_wicks": (q_wicks, WICKS_SQL), "price_grids": (q_grids, GRIDS_SQL), "store_merge": (q_store, STORE_SQL), "fetch_plan": (q_plan, PLAN_SQL),
     "exchange_pages": (q_pages, PAGES_SQL), "funding_lines": (q_funding_lines, FUNDING_LINES_SQL), "panel_files": (q_panel_files, PANEL_FILES_SQL),
+    "tail_bars": (q_tail, TAIL_SQL), "missing_days": (q_missing_days, MISSING_SQL), "venue_pivot": (q_venues, VENUES_SQL), "stream_names": (q_names, NAMES_SQL), "controller_relations": (q_relations, RELATIONS_SQL), "config_fingerprints": (q_fingerprints, FINGERPRINTS_SQL),
 }

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import stats
-from tidewright.operators import quality
+from tidewright.operators import books, quality
 from tidewright.operators.bars import BARS_SQL, bars
 from tidewright.operators.books import cross_sectional_target, with_deviation
-from tidewright.session import table
+from tidewright.session import cut, table
 
 GRID_US = 28_800_000_000
 
@@ -113,6 +113,17 @@ def q_yearly(spark, sf_dir):
     return yearly(_book(spark, sf_dir))
 
 
+def q_sized(spark, sf_dir):
+    """The daily momentum book at a target volatility: forecast, scale and scaled return of every day with a forecast."""
+    p, targets = books.momentum_targets(spark, sf_dir)
+    gross = books.book_returns(targets.withColumnRenamed("target", "weight"), p.select("t", "symbol", "ret"))
+    return sized(cut(gross.select("t", F.round("gross", 12).alias("ret")))).select("t", F.round("vol", 9).alias("vol"), F.round("scale", 6).alias("scale"), F.round("scaled", 9).alias("scaled"))
+
+
+def q_halves(spark, sf_dir):
+    return books.stress(cut(_book(spark, sf_dir).select("t", F.round("ret", 12).alias("gross"))))
+
+
 _FUND = "f0 as (select stream symbol, epoch_us(ts) us, max(funding_rate) rate from funding where ts is not null and funding_rate is not null group by 1, 2)"
 _BOOK = f"""with {BARS_SQL}, {_FUND}, fr as (select symbol, us // {GRID_US} t, round(sum(rate), 12) f_rate from f0 group by 1, 2), sp as (select stream symbol, us // {GRID_US} t, arg_max(close, us) spot from b group by 1, 2),
 pl as (select fr.*, x.spot / y.spot - 1 spot_ret from fr left join sp x using (symbol, t) left join sp y on y.symbol = fr.symbol and y.t = fr.t - 1),
@@ -122,4 +133,12 @@ bk as (select a.t, sum(greatest(-0.125, least(0.125, w.tg)) * (coalesce(a.spot_r
 BOOK_SQL = _BOOK + " select t, round(ret, 10) as ret, held from bk"
 YEARLY_SQL = _BOOK + f" select year(make_timestamp(t * {GRID_US})) as year, count(*) as periods, round(sum(ret), 9) as ret, round(case when count(*) >= 2 then case when stddev_samp(ret) > 1e-15 then avg(ret) / stddev_samp(ret) else 0 end end, 6) as sharpe from bk group by 1"
 
-QUERIES = {"carry_book": (q_book, BOOK_SQL), "carry_book_yearly": (q_yearly, YEARLY_SQL)}
+SIZED_SQL = books.MOMENTUM_BOOK_SQL + """, rb as (select wt.t, round(sum(w * coalesce(ret, 0)), 12) ret from wt left join pn using (t, symbol) group by 1),
+vb as (select *, case when count(*) over w = 21 then sqrt(avg(ret * ret) over w) end vol from rb window w as (order by t rows between 21 preceding and 1 preceding))
+select t, round(vol, 9) as vol, round(least(4, 0.01 / vol), 6) as scale, round(ret * least(4, 0.01 / vol), 9) as scaled from vb where vol > 0"""
+_SR = "case when count({x}) >= 2 then case when stddev_samp({x}) > 1e-15 then avg({x}) / stddev_samp({x}) else 0 end end"
+HALVES_SQL = _BOOK + f""", gk as (select t, round(ret, 12) g, row_number() over (order by t) - 1 k, count(*) over () n from bk), bl as (select k // greatest(1, n // 6) b, {_SR.format(x='g')} s from gk where k < 6 * greatest(1, n // 6) group by 1),
+sd as (select count(*) periods, {_SR.format(x='(case when k < n // 2 then g end)')} f, {_SR.format(x='(case when k >= n // 2 then g end)')} s, {_SR.format(x='g')} w from gk)
+select periods, round(f, 6) as first, round(s, 6) as second, round(w, 6) as whole, (select round(min(s), 6) from bl) as worst, round(least(f, s), 6) as weaker, round(sqrt((1 + w * w / 2) / (periods - 1)), 6) as se, (select count(*) from bl) as blocks from sd"""
+
+QUERIES = {"carry_book": (q_book, BOOK_SQL), "carry_book_yearly": (q_yearly, YEARLY_SQL), "book_sized": (q_sized, SIZED_SQL), "carry_book_stress": (q_halves, HALVES_SQL)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewright.operators import backtest, books, consensus, features, forecast, hashing, indicators, inference, labels, learners, memory, regular_grid, rolling_totals, series_queries, sleeves, spikes, splits, vault
-from tidewright.plans import evaluate
+from tidewright.plans import evaluate, pooling
 from tidewright.streaming import queries as streaming
 
 QUERIES = {
@@ -39,6 +39,7 @@ QUERIES = {
     **consensus.QUERIES,
     **learners.QUERIES,
     **evaluate.QUERIES,
+    **pooling.QUERIES,
     **streaming.QUERIES,
     **memory.QUERIES,
     **sleeves.QUERIES,
