@@ -59,3 +59,15 @@ def test_many_copies_and_empty(spark):
     assert Fo.similar_pairs(spark.createDataFrame([], SCHEMA), 0.9999).count() == 0
     empty = spark.createDataFrame([], SCHEMA)
     assert Fo.nearest(empty, empty).count() == 0
+
+
+def test_copies_of_a_vector_stand_for_one(spark):
+    rng = np.random.default_rng(6)
+    same, near = rng.normal(0, 1, 12), rng.normal(0, 1, 12)
+    rows = [(f"c{k:04d}", same.tolist()) for k in range(3000)] + [("d", (same * 1.00001).tolist()), ("e", near.tolist()), ("f", (near + 1e-4).tolist())] + [(f"r{k}", rng.normal(0, 1, 12).tolist()) for k in range(200)]
+    df = spark.createDataFrame(rows, "id string, vec array<double>").repartition(4)
+    pairs, members = Fo.similar_classes(df, 0.9999)
+    assert {(r["p"], r["q"]) for r in pairs.collect()} == {("c0000", "d"), ("e", "f")}
+    assert {r["rep"] for r in members.collect()} == {"c0000"} and members.count() == 2999
+    few = df.where("id < 'c0005' or id >= 'd'")
+    assert {(r["id_a"], r["id_b"]) for r in Fo.similar_pairs(few, 0.9999).collect()} == {(f"c{a:04d}", f"c{b:04d}") for a in range(5) for b in range(a + 1, 5)} | {(f"c{a:04d}", "d") for a in range(5)} | {("e", "f")}

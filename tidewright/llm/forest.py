@@ -151,16 +151,27 @@ def _prefix_blocks(keys: np.ndarray, bits: int, most: int) -> Iterator[np.ndarra
         todo += [(lo, mid, depth + 1), (mid, hi, depth + 1)]
 
 
-def similar_pairs(vectors: DataFrame, least: float, spec: ForestSpec = ForestSpec()) -> DataFrame:
-    """``(id_a, id_b)`` with id_a < id_b in byte order: vectors of one length whose cosine is at
-    least ``least``, found as candidates of one prefix in any tree and then computed exactly.
-
-    A pair at the limit agrees in a bit with chance 1 - acos(least) / pi, so at 0.9999 and 10 bits
-    of prefix four trees miss one pair in 250,000; where vectors crowd, prefixes grow and the
-    chance with them (60 bits: one in 300).
-
-    Null, zero and non-finite vectors and null ids have no pairs; repeated rows of an id count
-    once; equal vectors of different ids are pairs. Vectors of different lengths never meet.
+def _classes(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(representatives, class of each row)``: rows with the same vector are one class, its representative the
+    row of the smallest id."""
+    rows = np.ascontiguousarray(v).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel()
+    _, first, inverse, count = np.unique(rows, return_index=True, return_inverse=True, return_counts=True)
+    if len(first) < len(ids):
+        order, ends = np.argsort(inverse, kind="stable"), np.cumsum(count)
+        for c in np.flatnonzero(count > 1).tolist():
+            members = order[ends[c] - count[c] : ends[c]]
+            first[c] = members[ids[members].argmin()]
+    return first, inverse
+
+
+def similar_classes(vectors: DataFrame, least: float, spec: ForestSpec = ForestSpec()) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, members)``: pairs of representatives ``(p, q)``, p < q in byte order, and ``(rep, id)`` of every
+    other id whose vector equals its representative's. Copies of one vector never meet one by one.
+
+    Found as candidates of one prefix in any tree and then computed exactly. A pair at the limit
+    agrees in a bit with chance 1 - acos(least) / pi, so at 0.9999 and 10 bits of prefix four trees
+    miss one pair in 250,000; where vectors crowd, prefixes grow and the chance with them (60 bits:
+    one in 300).
     """
     layout, n = fit(vectors, spec)
     parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * spec.trees // 100_000)
@@ -171,12 +182,21 @@ def similar_pairs(vectors: DataFrame, least: float, spec: ForestSpec = ForestSpe
             if g.num_rows < 2:
                 continue
             ids = np.array(g.column("id").to_pylist(), object)
-            v = _vectors(g.column("vec"), g.column("code")[0].as_py() // spec.trees)
+            code = g.column("code")[0].as_py()
+            v = _vectors(g.column("vec"), code // spec.trees)
+            first, inverse = _classes(ids, v)
+            if len(first) < len(ids) and code % spec.trees == 0:
+                rep = ids[first][inverse]
+                other = np.flatnonzero(rep != ids)
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[other], pa.string()), pa.array(ids[other], pa.string()), pa.array(np.ones(len(other), np.int8))], ["p", "q", "kind"])
+            first = np.sort(first)
+            ids, v, keys = ids[first], v[first], g.column("key").to_numpy()[first]
+            order = np.argsort(keys, kind="stable")
+            ids, v, keys = ids[order], v[order], keys[order]
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
             rough = unit.astype(np.float32)
-            keys = g.column("key").to_numpy()
             for block in _prefix_blocks(keys, spec.bits, 2 * spec.leaf):
-                found_a, found_b = [], []
                 for lo in range(0, len(block), 1024):  # tiles, for the rare block that no prefix divides
                     for at in range(lo, len(block), 1024):
                         x, y = block[lo : lo + 1024], block[at : at + 1024]
@@ -185,15 +205,30 @@ def similar_pairs(vectors: DataFrame, least: float, spec: ForestSpec = ForestSpe
                         new = a < b
                         a, b = a[new], b[new]
                         exact = np.einsum("ij,ij->i", unit[a], unit[b]) >= least
-                        found_a.append(a[exact])
-                        found_b.append(b[exact])
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
-                if len(a):
-                    p, q = ids[a], ids[b]
-                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(q, pa.string())], ["p", "q"])
+                        if exact.any():
+                            p, q = ids[a[exact]], ids[b[exact]]
+                            yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(q, pa.string()), pa.array(np.zeros(len(p), np.int8))], ["p", "q", "kind"])
+
+    found = cut(rows.mapInArrow(run, "p string, q string, kind tinyint"))
+    pairs = found.where("kind = 0 and p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    return pairs, found.where("kind = 1").select(F.col("p").alias("rep"), F.col("q").alias("id")).distinct()
 
-    pairs = rows.mapInArrow(run, "p string, q string").where("p <> q")
-    return pairs.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
+
+def similar_pairs(vectors: DataFrame, least: float, spec: ForestSpec = ForestSpec()) -> DataFrame:
+    """``(id_a, id_b)`` with id_a < id_b in byte order: vectors of one length whose cosine is at
+    least ``least``: ``similar_classes`` with the copies of a vector written out.
+
+    Null, zero and non-finite vectors and null ids have no pairs; repeated rows of an id count
+    once; equal vectors of different ids are pairs. Vectors of different lengths never meet.
+    """
+    pairs, members = similar_classes(vectors, least, spec)
+    if members.isEmpty():
+        return pairs.select(F.col("p").alias("id_a"), F.col("q").alias("id_b"))
+    every = cut(members.unionByName(members.select("rep", F.col("rep").alias("id")).distinct()))
+    one, two = (every.select(F.col("rep").alias(f"r{k}"), F.col("id").alias(f"i{k}")) for k in (1, 2))
+    across = pairs.join(one, F.col("p") == F.col("r1"), "left").join(two, F.col("q") == F.col("r2"), "left").select(F.coalesce("i1", "p").alias("a"), F.coalesce("i2", "q").alias("b"))
+    within = one.join(two, F.col("r1") == F.col("r2")).where("i1 < i2").select(F.col("i1").alias("a"), F.col("i2").alias("b"))
+    return across.unionByName(within).where("a <> b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
 #: Steps in which the cosine a query has reached travels in its key.
@@ -315,6 +350,17 @@ def p6_neighbours(spark, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("crc32(cast(id as binary)) % 100 = 0"))
 
 
+def p6_classes(spark, sf_dir: str) -> DataFrame:
+    """The same in compact form: every vector with a partner or a copy, its representative, the copies it
+    stands for, and the number of other representatives it is similar to."""
+    pairs, members = similar_classes(_banks(spark, sf_dir), 0.9999)
+    both = pairs.select("p", "q").unionByName(pairs.select(F.col("q").alias("p"), F.col("p").alias("q")))
+    links = both.groupBy(F.col("p").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
+    copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+    out = links.join(copies, "rep", "full")
+    return out.select(F.col("rep").alias("proto_id"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 P6_SQL = """
 with b as (select distinct proto_id, mean from (select proto_id, mean from volatile_positive union all select proto_id, mean from volatile_negative) where mean is not null),
 v as (select proto_id, mean, len(mean) d, sqrt(list_sum(list_transform(mean, lambda x: x * x))) n from b),
@@ -322,3 +368,10 @@ g as (select * from v where n > 0 and not isnan(n))
 select a.proto_id as proto_id_a, b.proto_id as proto_id_b from g a join g b on a.d = b.d and a.proto_id < b.proto_id
 where list_cosine_similarity(a.mean, b.mean) >= 0.9999
 """
+P6_CLASSES_SQL = """
+with b as (select distinct proto_id, mean from (select proto_id, mean from volatile_positive union all select proto_id, mean from volatile_negative) where mean is not null),
+v as (select min(proto_id) proto_id, mean, count(*) - 1 copies, len(mean) d, sqrt(list_sum(list_transform(mean, lambda x: x * x))) n from b group by mean),
+g as (select * from v where n > 0 and not isnan(n)),
+l as (select a.proto_id, count(*) links from g a join g b on a.d = b.d and a.proto_id <> b.proto_id where list_cosine_similarity(a.mean, b.mean) >= 0.9999 group by 1)
+select proto_id, copies, coalesce(links, 0) as links from g left join l using (proto_id) where copies > 0 or links > 0
+"""

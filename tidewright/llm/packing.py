@@ -26,27 +26,42 @@ SHARDS = 64
 
 
 @lru_cache(maxsize=2)
-def _encoder(folder: str, name: str):
+def _vocabulary(folder: str, name: str) -> tuple[str, dict[bytes, int]]:
+    """``(split pattern, ranks)`` of a public tokenizer's files, read on the driver."""
     import sys
     from importlib import util
     from pathlib import Path
 
-    import tiktoken
-
     spec = util.spec_from_file_location("tokenizer_files", Path(folder) / "__init__.py")
     files = util.module_from_spec(spec)
     sys.modules.setdefault("tokenizer_files", files)
     spec.loader.exec_module(files)
     with open(Path(folder) / name, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return files.PATTERN, {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+_encoders: dict[str, object] = {}
+
+
+def _encoder(key: str, shipped):
+    """The tokenizer of a broadcast vocabulary, made once in each worker."""
+    if key not in _encoders:
+        import tiktoken
+
+        pattern, ranks = shipped.value
+        _encoders[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
 
 
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """``(doc_id, n_tokens)`` of every document with a text; empty texts have 0, null texts are left out."""
+    """``(doc_id, n_tokens)`` of every document with a text; empty texts have 0, null texts are left out.
+
+    The vocabulary (about a megabyte, however many documents) is read on the driver and broadcast,
+    so workers need no copy of its folder."""
+    shipped, key = documents.sparkSession.sparkContext.broadcast(_vocabulary(folder, name)), f"{folder}/{name}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(folder, name)
+        enc = _encoder(key, shipped)
         for b in batches:
             counts = [len(enc.encode_ordinary(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
@@ -162,3 +177,23 @@ def pack(sized: DataFrame, capacity: int = 4096) -> DataFrame:
 def p7_packed(spark, sf_dir: str) -> DataFrame:
     """Whole documents into containers of 4,096 tokens; tokenised once, then planned on counts."""
     return pack(cut(token_counts(table(spark, sf_dir, "documents"))), 4096)
+
+
+def p7_characters(spark, sf_dir: str) -> DataFrame:
+    """Whether a packing is right, in one row: documents sized in characters into containers of 16,384. Pieces
+    and characters placed, containers over capacity (none may be), pieces of a split document that do not
+    fill their container (its last one only), and whether the containers are within a hundredth of the fewest possible."""
+    room = 16_384
+    sized = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("n_chars").alias("n_tokens"))
+    out = cut(pack(sized, room))
+    box = out.groupBy("container").agg(F.sum("n_tokens").alias("fill"))
+    boxes = box.agg(F.count_if(F.col("fill") > 0).alias("boxes"), F.count_if(F.col("fill") > room).alias("over"), F.sum("fill").alias("chars"))
+    doc = out.groupBy("doc_id").agg(F.count_if(F.col("n_tokens") < room).alias("short"), F.count(F.lit(1)).alias("pieces"))
+    docs = doc.agg(F.count(F.lit(1)).alias("documents"), F.sum("pieces").alias("pieces"), F.count_if(F.col("short") > 1).alias("torn"))
+    both = boxes.crossJoin(F.broadcast(docs))
+    return both.select("documents", "pieces", "chars", "over", "torn", (F.col("boxes") <= 1 + F.ceil(F.col("chars") / room) * 1.01).alias("tight"))
+
+
+P7_CHARACTERS_SQL = """
+select count(*) as documents, sum(n_chars // 16384 + (n_chars % 16384 > 0 or n_chars = 0)::int)::bigint as pieces, sum(n_chars)::bigint as chars, 0 as "over", 0 as torn, true as tight from documents where text is not null
+"""
