@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.spikes import FIRST_US
-from tidewright.session import cut, join_small
+from tidewright.session import cut, join_small, written_once
 
 FIELDS = ("open", "high", "low", "close", "volume")
 #: Bars in one chunk of a source, and the bars before it that are computed along and dropped.
@@ -73,6 +73,12 @@ def indexed(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return out.withColumn("i", F.col("start") + F.col("rn")).drop("ss", "sc", "start", "rn", "cell")
 
 
+def numbered(candles: DataFrame) -> DataFrame:
+    """``indexed(bars(candles))``: the valid bars of a table in order. They are written once, and every query of
+    the session over the same files reads that table; columns others do not need are not read."""
+    return written_once(candles, "numbered bars", lambda c: indexed(bars(c)))
+
+
 def with_halo(rows: DataFrame, halo: int = HALO, chunk: int = CHUNK, ahead: int = 0) -> DataFrame:
     """Rows of ``indexed`` divided into parts of ``chunk`` positions, each preceded by copies of
     the ``halo`` positions before it and followed by the ``ahead`` after it. ``own`` tells a part's rows from the copies: what needs no

@@ -234,5 +234,10 @@ sd as (select count(*) periods, {_SR.format(x='(case when k < n // 2 then g end)
 select periods, round(f, 6) as first, round(s, 6) as second, round(w, 6) as whole, (select round(min(s), 6) from bl) as worst, round(least(f, s), 6) as weaker, round(sqrt((1 + w * w / 2) / (periods - 1)), 6) as se, (select count(*) from bl) as blocks from sd"""
 SATURATED_SQL = MOMENTUM_BOOK_SQL + ", sw as (select t, symbol, 0.125 * tanh(w / 0.125) s from wt) select t, symbol, round(s, 9) as saturated, round(case when sum(abs(s)) over (partition by t) > 0 then s / sum(abs(s)) over (partition by t) else 0 end, 9) as weight from sw"
 
-QUERIES = {"book_weights": (q_weights, WEIGHTS_SQL), "book_returns": (q_book, None), "book_score": (q_book_score, SCORE_SQL), "inverse_vol_weights": (q_inverse_vol, INV_SQL), "common_grid": (q_common_grid, GRID_SQL),
+RETURNS_SQL = "with recursive" + MOMENTUM_BOOK_SQL[4:] + """, cw as (select t, symbol, w, row_number() over (partition by symbol order by t) k from wt),
+hb as (select t, symbol, k, 0.25 * w h from cw where k = 1 union all select c.t, c.symbol, c.k, 0.75 * hb.h + 0.25 * c.w from hb join cw c on c.symbol = hb.symbol and c.k = hb.k + 1),
+tn as (select t, symbol, h, abs(h - coalesce(lag(h) over (partition by symbol order by t), 0)) d from hb)
+select tn.t, round(sum(h * coalesce(ret, 0)), 10) as gross, round(sum(d), 8) as turnover from tn left join pn on pn.t = tn.t and pn.symbol = tn.symbol group by 1"""
+
+QUERIES = {"book_weights": (q_weights, WEIGHTS_SQL), "book_returns": (q_book, RETURNS_SQL), "book_score": (q_book_score, SCORE_SQL), "inverse_vol_weights": (q_inverse_vol, INV_SQL), "common_grid": (q_common_grid, GRID_SQL),
     "clean_book": (q_clean, CLEAN_SQL), "book_stress": (q_stress, STRESS_SQL), "saturated_weights": (q_saturated, SATURATED_SQL)}

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.bars import BARS_SQL, bar_returns, bars, indexed, order, own, with_halo
+from tidewright.operators.bars import BARS_SQL, bar_returns, numbered, order, own, with_halo
 from tidewright.session import cut, join_small, table
 
 
@@ -203,12 +203,12 @@ def q_alerts(spark, sf_dir):
 
 def q_kappa(spark, sf_dir):
     """Agreement between a rising bar and rising volume, per stream."""
-    rows = bar_returns(with_halo(indexed(bars(table(spark, sf_dir, "candles"))), 1)).withColumn("v", F.when(F.col("volume") > F.lag("volume").over(order()), 1).otherwise(0)).withColumn("u", F.when(F.col("ret") > 0, 1).otherwise(0))
+    rows = bar_returns(with_halo(numbered(table(spark, sf_dir, "candles")), 1)).withColumn("v", F.when(F.col("volume") > F.lag("volume").over(order()), 1).otherwise(0)).withColumn("u", F.when(F.col("ret") > 0, 1).otherwise(0))
     return own(rows).where("i > 0").groupBy("stream").agg(F.round(cohens_kappa("u", "v"), 6).alias("kappa"))
 
 
 def q_settled(spark, sf_dir):
-    rows = with_halo(indexed(bars(table(spark, sf_dir, "candles"))), 1, ahead=24)
+    rows = with_halo(numbered(table(spark, sf_dir, "candles")), 1, ahead=24)
     return own(settle(rows, 0.02, 0.01, 24)).select("stream", "i", "settled_at", "outcome")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.bars import BARS_SQL, bar_returns, bars, full, indexed, last_k, order, own, with_halo
+from tidewright.operators.bars import BARS_SQL, bar_returns, full, last_k, numbered, order, own, with_halo
 from tidewright.session import table
 
 DECIMALS = 8
@@ -163,7 +163,7 @@ FEATURES = {
 
 def base(candles: DataFrame) -> DataFrame:
     """Bars in chunks with their halo, returns and previous returns: what the features read."""
-    rows = bar_returns(with_halo(indexed(bars(candles)), ahead=1))
+    rows = bar_returns(with_halo(numbered(candles), ahead=1))
     return rows.withColumn("prev_ret", F.lag("ret").over(order()))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.bars import BARS_SQL, bar_returns, bars, full, indexed, order, own, with_halo
+from tidewright.operators.bars import BARS_SQL, bar_returns, full, numbered, order, own, with_halo
 from tidewright.operators.features import POSITION_SQL, positions
 from tidewright.session import table
 
@@ -45,7 +45,7 @@ def yang_zhang(k: int = 24) -> Column:
 
 
 def volatilities(candles: DataFrame, k: int = 24) -> DataFrame:
-    rows = bar_returns(with_halo(indexed(bars(candles)), 64))
+    rows = bar_returns(with_halo(numbered(candles), 64))
     rows = rows.withColumns({e: bar_variance(e) for e in ("parkinson", "garman_klass", "rogers_satchell")})
     rows = rows.withColumns({"on": F.ln(F.col("open") / F.lag("close").over(order())), "oc": F.ln(F.col("close") / F.col("open")), "rs": F.col("rogers_satchell")})
     means = {f"{e}_vol": F.sqrt(not_negative(full(F.avg(e), e, k))) for e in ("parkinson", "garman_klass", "rogers_satchell")}
@@ -55,7 +55,7 @@ def volatilities(candles: DataFrame, k: int = 24) -> DataFrame:
 def daily_vols(candles: DataFrame) -> DataFrame:
     """One root mean square return per stream and UTC day: what the forecasters read. A stream's
     days are few however many bars it has."""
-    rows = bar_returns(with_halo(indexed(bars(candles)), 1)).where("own")
+    rows = bar_returns(with_halo(numbered(candles), 1)).where("own")
     return rows.groupBy("stream", F.expr(f"us div {DAY_US}").alias("day")).agg(F.sqrt(F.avg(F.col("ret") * F.col("ret"))).alias("vol"))
 
 
@@ -244,7 +244,7 @@ def rolling_combination(rows: DataFrame, spans: tuple[int, ...] = SPANS, window:
 
 
 def q_combination(spark, sf_dir):
-    return rolling_combination(bar_returns(with_halo(indexed(bars(table(spark, sf_dir, "candles"))))))
+    return rolling_combination(bar_returns(with_halo(numbered(table(spark, sf_dir, "candles")))))
 
 
 def q_volatility(spark, sf_dir):
@@ -267,7 +267,7 @@ def q_scores(spark, sf_dir):
 
 def q_ar1(spark, sf_dir):
     """AR(1) of the absolute returns per stream by sums: slope, intercept and fit."""
-    rows = bar_returns(with_halo(indexed(bars(table(spark, sf_dir, "candles"))), 2)).withColumn("x", F.abs("ret"))
+    rows = bar_returns(with_halo(numbered(table(spark, sf_dir, "candles")), 2)).withColumn("x", F.abs("ret"))
     rows = rows.withColumn("lagged", F.lag("x").over(order())).where("own and lagged is not null")
     return rows.groupBy("stream").agg(F.round(F.regr_slope("x", "lagged"), 8).alias("slope"), F.round(F.regr_intercept("x", "lagged"), 8).alias("intercept"), F.round(F.regr_r2("x", "lagged"), 8).alias("r2"))
 

@@ -3,15 +3,13 @@ numpy over chunks where it is a recursion whose memory fades within the halo."""
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.bars import BARS_SQL, bars, full, indexed, last_k, order, own, running, with_halo
-from tidewright.operators.medians import exact_medians
+from tidewright.operators.bars import BARS_SQL, full, last_k, numbered, order, own, running, with_halo
+from tidewright.operators.medians import exact_medians, exact_positions
 from tidewright.session import cut, join_small, table
 
 #: Enough earlier bars for a 100-bar exponential mean to forget its start beyond double precision.
@@ -131,7 +129,7 @@ def recursive_indicators(candles: DataFrame) -> DataFrame:
     Chunks of a stream are computed apart, each over LONG_HALO earlier bars first: the recursions
     forget their start geometrically, so that the rows kept equal those of one long run.
     """
-    rows = indexed(bars(candles))
+    rows = numbered(candles)
     mid = cut(exact_medians(rows, "stream", {"middle": F.col("close")}, upper=True).withColumnRenamed("stream", "ms"))
     rows = join_small(rows, mid, F.col("stream").eqNullSafe(F.col("ms")))
     parts = with_halo(rows, LONG_HALO).select("stream", "part", "own", "i", "us", "high", "low", "close", "middle")
@@ -172,7 +170,7 @@ def cci(k: int = 20, bound: float = 1000.0) -> Column:
 
 
 def window_indicators(candles: DataFrame) -> DataFrame:
-    rows = with_halo(indexed(bars(candles)), 64).withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    rows = with_halo(numbered(candles), 64).withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
     rows = rows.withColumns({"bollinger_b": bollinger_b(), "williams_r": williams_r(), "stochastic_k": stochastic_k(), "cci": cci()})
     return own(rows).select("stream", "us", *[F.round(c, 6).alias(c) for c in ("bollinger_b", "williams_r", "stochastic_k", "cci")])
 
@@ -180,19 +178,25 @@ def window_indicators(candles: DataFrame) -> DataFrame:
 def on_balance_volume(candles: DataFrame, bound: float = 1e9) -> DataFrame:
     """Volume summed with the sign of the close's change, held within ``bound``; sums run in
     chunks (see ``running``)."""
-    rows = with_halo(indexed(bars(candles)), 1)
+    rows = with_halo(numbered(candles), 1)
     rows = rows.withColumn("signed", F.coalesce(F.signum(F.col("close") - F.lag("close").over(order())), F.lit(0.0)) * F.col("volume"))
     out = running(rows, {"obv": F.col("signed")})
     return out.select("stream", "us", F.round(F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("obv"))), 4).alias("obv"))
 
 
-def robust_normalize(x: str, key: str, low: float = 0.05, high: float = 0.95) -> Column:
-    """Scale to [0, 1] between the values at the 5th and 95th percentile's positions, cut to 4 decimals."""
-    values = F.sort_array(F.collect_list(x))
-    n = F.size(values)
-    lo = F.element_at(values, F.least(n, F.floor(n * low).cast("int") + 1))
-    hi = F.element_at(values, F.greatest(F.lit(1), F.ceil(n * high).cast("int")))
-    return F.transform(F.collect_list(x), lambda v: F.when(hi > lo, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - lo) / (hi - lo))) * 1e4) / 1e4).otherwise(0.5))
+def robust_normalized(rows: DataFrame, recent: int = 3, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """``(stream, i, x, normalized)`` of the last ``recent`` closes of every stream: scaled to [0, 1] between the
+    values at the 5th and 95th percentile's positions, widened to hold the recent ones, cut to 4
+    decimals; 0.5 where these are one value. Positions are exact and no stream is gathered in a task."""
+    at = {"lo": f"floor({low} * total)", "hi": f"ceil({high} * total) - 1"}
+    ends = cut(exact_positions(rows, "stream", F.col("close"), at).withColumnRenamed("stream", "es"))
+    w = Window.partitionBy("stream").orderBy(F.col("i").desc())
+    last = rows.select("stream", "i", F.col("close").alias("x")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= recent)
+    j = join_small(last, ends, F.col("stream").eqNullSafe(F.col("es")))
+    every = Window.partitionBy("stream")  # the recent ones
+    j = j.withColumn("a", F.least("lo", F.min("x").over(every))).withColumn("z", F.greatest("hi", F.max("x").over(every)))
+    scaled = (F.col("x") - F.col("a")) / (F.col("z") - F.col("a"))
+    return j.select("stream", "i", "x", F.when(F.col("z") > F.col("a"), F.floor(scaled * 1e4) / 1e4).otherwise(0.5).alias("normalized"))
 
 
 def interleave(a: Column, b: Column) -> Column:
@@ -202,6 +206,19 @@ def interleave(a: Column, b: Column) -> Column:
     return F.concat(paired, F.slice(a, n + 1, F.size(a)), F.slice(b, n + 1, F.size(b)))
 
 
+def q_normalized(spark, sf_dir):
+    return robust_normalized(numbered(table(spark, sf_dir, "candles")))
+
+
+def q_interleaved(spark, sf_dir):
+    """The last five closes of every stream alternating with its last three volumes, the newest first."""
+    w = Window.partitionBy("stream").orderBy(F.col("i").desc())
+    last = numbered(table(spark, sf_dir, "candles")).select("stream", "i", "close", "volume").withColumn("rn", F.row_number().over(w)).where("rn <= 5")
+    listed = lambda c, k: F.transform(F.sort_array(F.collect_list(F.when(F.col("rn") <= k, F.struct("rn", F.col(c).alias("x"))))), lambda s: s["x"])
+    both = last.groupBy("stream").agg(interleave(listed("close", 5), listed("volume", 3)).alias("v"))
+    return both.select("stream", F.posexplode("v").alias("place", "x"))
+
+
 def q_window(spark, sf_dir):
     return window_indicators(table(spark, sf_dir, "candles"))
 
@@ -229,3 +246,9 @@ select stream, us, round(case when n20 = 20 then case when s > 1e-12 then (close
 
 OBV_SQL = f"""with {BARS_SQL}, s as (select *, coalesce(sign(close - lag(close) over (partition by stream order by i)), 0) * volume sv from b)
 select stream, us, round(greatest(-1e9, least(1e9, sum(sv) over (partition by stream order by i))), 4) as obv from s"""
+
+NORMALIZED_SQL = f"""with {BARS_SQL}, l as (select stream, list(close order by close) v, count(*) n from b group by 1), e as (select stream, v[floor(0.05 * n)::bigint + 1] lo, v[ceil(0.95 * n)::bigint] hi from l),
+t as (select stream, i, close x, row_number() over (partition by stream order by i desc) k from b), j as (select t.stream, i, x, least(lo, min(x) over (partition by t.stream)) a, greatest(hi, max(x) over (partition by t.stream)) z from t join e using (stream) where k <= 3)
+select stream, i, x, case when z > a then floor((x - a) / (z - a) * 1e4) / 1e4 else 0.5 end as normalized from j"""
+INTERLEAVED_SQL = f"""with {BARS_SQL}, t as (select *, row_number() over (partition by stream order by i desc) k from b), m as (select stream, least(count(*) filter (where k <= 5), count(*) filter (where k <= 3)) m from t group by 1)
+select stream, (case when k <= m then 2 * (k - 1) else m + k - 1 end)::int as place, close as x from t join m using (stream) where k <= 5 union all select stream, (2 * (k - 1) + 1)::int, volume from t where k <= 3"""

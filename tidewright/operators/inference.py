@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import stats
-from tidewright.operators.bars import BARS_SQL, bar_returns, bars, indexed, order, own, with_halo
+from tidewright.operators.bars import BARS_SQL, bar_returns, numbered, order, own, with_halo
 from tidewright.operators.features import FEATURES, base, causal_z, clamp_position
-from tidewright.session import cut, table
+from tidewright.session import cut, join_small, table
 
 DAY_US = 86_400_000_000
 #: Most numbers in a panel that may be sent to workers whole.
@@ -316,16 +316,48 @@ def select_streams(corr: np.ndarray, most: int, least_gain: float = 0.0) -> list
 
 def daily_returns(candles: DataFrame) -> DataFrame:
     """Sum of the returns of every stream and UTC day."""
-    rows = own(bar_returns(with_halo(indexed(bars(candles)), 1)))
+    rows = own(bar_returns(with_halo(numbered(candles), 1)))
     return rows.groupBy("stream", F.expr(f"us div {DAY_US}").alias("day")).agg(F.round(F.sum("ret"), 12).alias("ret"))
 
 
-def pair_correlations(daily: DataFrame, least: int = 30) -> DataFrame:
-    """Pearson correlation of every two streams that share ``least`` days. Streams meet by day, so
-    the join grows with the pairs that are asked for and not with a stream's bars."""
-    a, b = daily.select(F.col("stream").alias("a"), "day", F.col("ret").alias("ra")), daily.select(F.col("stream").alias("b"), "day", F.col("ret").alias("rb"))
-    both = a.join(b, "day").where("a < b")
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("days"), F.round(F.corr("ra", "rb"), 6).alias("corr")).where(F.col("days") >= least)
+#: Streams in one block, and days in one part, of the sums of products.
+BLOCK_STREAMS, PART_DAYS = 256, 512
+
+
+def pair_correlations(daily: DataFrame, least: int = 30, block: int = BLOCK_STREAMS) -> DataFrame:
+    """Pearson correlation of every two streams that share ``least`` days.
+
+    Streams are laid out in blocks and days in parts; two blocks meet once a part, as matrices of
+    days by streams, and send on one row of sums a pair. So a day of many streams is no group,
+    and what is shuffled does not grow with the days inside a part. Sums are taken about each
+    stream's own mean. Days without a return count as missing.
+    """
+    daily = daily.where("ret is not null")
+    means = cut(daily.groupBy(F.col("stream").alias("ms")).agg(F.avg("ret").alias("mean")))
+    blocks = max(1, -(-means.count() // block))
+    rows = join_small(daily, means, F.col("stream") == F.col("ms")).select("stream", "day", (F.col("ret") - F.col("mean")).alias("x"), F.pmod(F.xxhash64("stream"), F.lit(blocks)).cast("int").alias("own"), F.expr(f"day div {PART_DAYS}").alias("part"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(pdf["stream"].to_numpy(object))
+        wide = np.full((PART_DAYS, len(names)), np.nan)
+        wide[pdf["day"].to_numpy() % PART_DAYS, np.searchsorted(names, pdf["stream"].to_numpy(object))] = pdf["x"].to_numpy()
+        there = ~np.isnan(wide)
+        x, m = np.where(there, wide, 0.0), there.astype(float)
+        n, sa, saa, sab = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+        home = pdf.groupby("stream")["own"].first().reindex(names).to_numpy()
+        a, b = np.nonzero((n > 0) & (np.arange(len(names))[:, None] < np.arange(len(names))[None, :]))
+        if pdf["lo"].iloc[0] != pdf["hi"].iloc[0]:
+            across = home[a] != home[b]
+            a, b = a[across], b[across]
+        return pd.DataFrame({"a": names[a], "b": names[b], "n": n[a, b].astype(np.int64), "sa": sa[a, b], "sb": sa[b, a], "saa": saa[a, b], "sbb": saa[b, a], "sab": sab[a, b]})
+
+    parts = rows.groupBy("lo", "hi", "part").applyInPandas(lambda pdf: meet(pdf), "a string, b string, n bigint, sa double, sb double, saa double, sbb double, sab double")
+    t = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]).where(F.col("n") >= least)
+    n = F.col("n")
+    va, vb = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
+    corr = F.when((va > 0) & (vb > 0), (F.col("sab") - F.col("sa") * F.col("sb") / n) / F.sqrt(va * vb))
+    return t.select("a", "b", n.alias("days"), F.round(corr, 6).alias("corr"))
 
 
 def strategy_panel(candles: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.bars import BARS_SQL, bars, indexed, order, own, with_halo
+from tidewright.operators.bars import BARS_SQL, numbered, order, own, with_halo
 from tidewright.session import cut, join_small, table
 
 
@@ -91,7 +91,7 @@ def sequential_bootstrap(spans: list[tuple[int, int]], size: int, seed: int = 1)
 
 
 def labelled(candles: DataFrame, horizon: int = 10, width: float = 0.01) -> DataFrame:
-    rows = with_halo(indexed(bars(candles)), 1, ahead=horizon)
+    rows = with_halo(numbered(candles), 1, ahead=horizon)
     return own(triple_barrier(rows, F.col("close") * (1 + width), F.col("close") * (1 - width), horizon))
 
 
@@ -108,7 +108,7 @@ def q_uniqueness(spark, sf_dir):
 
 
 def q_cusum(spark, sf_dir):
-    return cusum_events(indexed(bars(table(spark, sf_dir, "candles"))), 0.02)
+    return cusum_events(numbered(table(spark, sf_dir, "candles")), 0.02)
 
 
 def sample_weights(labels: DataFrame, low: float = 0.1, high: float = 5.0) -> DataFrame:
@@ -150,3 +150,9 @@ g as (select u.stream, u.id, u, l.gain / b.close g from u join l on l.stream = u
 w1 as (select *, u * abs(g) w from g), w2 as (select *, greatest(0.1, least(5.0, case when avg(w) over p > 0 then w / avg(w) over p else 1 end)) c from w1 window p as (partition by stream)),
 w3 as (select *, c / avg(c) over (partition by stream) wt from w2)
 select stream, count(*) as labels, round(min(wt), 6) as least, round(max(wt), 6) as most, round(pow(sum(wt), 2) / sum(wt * wt), 4) as effective, round(sum(g * wt) / sum(wt), 9) as weighted_gain, round(avg(g), 9) as mean_gain from w3 group by 1"""
+#: Step by step from each stream's first bar; the sums start anew at an event.
+CUSUM_SQL = f"""with recursive {BARS_SQL}, q as (select stream, i, us, ret from r),
+c as (select stream, i, us, 0.0::double pos, 0.0::double neg, false hit from q where i = 0
+  union all select q.stream, q.i, q.us, case when x.p > 0.02 or x.n < -0.02 then 0 else x.p end, case when x.p > 0.02 or x.n < -0.02 then 0 else x.n end, x.p > 0.02 or x.n < -0.02
+    from c join q on q.stream = c.stream and q.i = c.i + 1, lateral (select greatest(0.0::double, c.pos + q.ret) p, least(0.0::double, c.neg + q.ret) n) x)
+select stream, i, us from c where hit"""

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.bars import bar_returns, bars, indexed, order, own, with_halo
+from tidewright.operators.bars import bar_returns, numbered, order, own, with_halo
 from tidewright.session import table
 
 FEATURES = 6
@@ -191,7 +191,7 @@ def low_rank_es_step(f, x: np.ndarray, rng: np.random.Generator, rank: int = 4,
 
 def feature_rows(candles: DataFrame) -> DataFrame:
     """``(stream, i, x, y)``: the last FEATURES returns and whether the next one is positive."""
-    rows = bar_returns(with_halo(indexed(bars(candles)), FEATURES + 1, ahead=1))
+    rows = bar_returns(with_halo(numbered(candles), FEATURES + 1, ahead=1))
     rows = rows.withColumn("x", F.collect_list("ret").over(order().rowsBetween(-(FEATURES - 1), 0))).withColumn("next", F.lead("ret").over(order()))
     return own(rows).where((F.size("x") == FEATURES) & F.col("next").isNotNull()).select("stream", "i", "x", F.when(F.col("next") > 0, 1.0).otherwise(0.0).alias("y"))
 

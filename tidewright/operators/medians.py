@@ -64,3 +64,21 @@ def exact_medians(df: DataFrame, key: str, values: dict[str, Column], upper: boo
     inside = join_small(long, hit, same)
     counted = inside.groupBy("k", "m", "x").agg(F.count(F.lit(1)).alias("n"), F.min("below").alias("below"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
     return middle_values(counted, names, upper).withColumnRenamed("k", key)
+
+
+def exact_positions(df: DataFrame, key: str, value: Column, places: dict[str, str]) -> DataFrame:
+    """One row per ``key`` with the values at given places of its sorted values: ``places`` names them by
+    expressions of ``total``, the number of values, from 0. Two passes, as in ``exact_medians``; nulls and NaN
+    are left out, a null key is a key like any other."""
+    names = list(places)
+    long = df.select(F.col(key).alias("k"), value.cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).withColumn("cell", log_cell(F.col("x")))
+    by_cell = Window.partitionBy("k").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    hist = long.groupBy("k", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(by_cell)).withColumn("total", F.sum("n").over(Window.partitionBy("k")))
+    wanted = F.inline(F.array(*[F.struct(F.lit(i).alias("p"), F.expr(f"cast({places[n]} as bigint)").alias("rank")) for i, n in enumerate(names)]))
+    hit = hist.select("k", "cell", "n", "upto", wanted).where("rank < upto and rank >= upto - n")
+    hit = cut(hit.select(F.col("k").alias("hk"), F.col("cell").alias("hc"), "p", "rank", (F.col("upto") - F.col("n")).alias("below")))
+    inside = join_small(long, hit, F.col("k").eqNullSafe(F.col("hk")) & (F.col("cell") == F.col("hc")))
+    by_value = Window.partitionBy("k", "p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    counted = inside.groupBy("k", "p", "x").agg(F.count(F.lit(1)).alias("n"), F.min("below").alias("below"), F.min("rank").alias("rank")).withColumn("upto", F.sum("n").over(by_value) + F.col("below"))
+    found = counted.where(F.col("upto") > F.col("rank"))
+    return found.groupBy(F.col("k").alias(key)).agg(*[F.min(F.when(F.col("p") == i, F.col("x"))).alias(n) for i, n in enumerate(names)])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewright.operators import quality
-from tidewright.operators.bars import BARS_SQL, bars, dedupe_bars, drop_unclosed, find_gaps, indexed, merge_bars, normalize_bars, resample_bars, summarize_bars, with_halo
+from tidewright.operators.bars import BARS_SQL, bars, dedupe_bars, drop_unclosed, find_gaps, merge_bars, normalize_bars, numbered, resample_bars, summarize_bars, with_halo
 from tidewright.session import cut, join_small, table
 
 #: "Now" of the audits, 2026-01-01 UTC.
@@ -28,7 +28,7 @@ def q_repair(spark, sf_dir):
 
 
 def q_gaps(spark, sf_dir):
-    rows = with_halo(indexed(bars(table(spark, sf_dir, "candles"))), 1)
+    rows = with_halo(numbered(table(spark, sf_dir, "candles")), 1)
     rows = join_small(rows, _steps(spark, sf_dir), F.col("stream") == F.col("ms"))
     return find_gaps(rows, F.col("step_us")).where("missing > 0")
 
@@ -38,7 +38,7 @@ def q_summary(spark, sf_dir):
 
 
 def q_resampled(spark, sf_dir):
-    out = resample_bars(indexed(bars(table(spark, sf_dir, "candles"))), 4)
+    out = resample_bars(numbered(table(spark, sf_dir, "candles")), 4)
     return out.select("stream", "us", "open", "high", "low", "close", F.round("volume", 4).alias("volume"))
 
 
@@ -162,7 +162,7 @@ def q_pages(spark, sf_dir):
     """Bars in the answers of four exchanges, read back: per source and stream."""
     from tidewright.sources.exchanges import SOURCES, format_pages, parse_pages
 
-    rows = cut(indexed(bars(table(spark, sf_dir, "candles"))))
+    rows = numbered(table(spark, sf_dir, "candles"))
     out = None
     for name in SOURCES:
         one = parse_pages(format_pages(rows, name), name).groupBy("stream").agg(F.count(F.lit(1)).alias("bars"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.max_by("open", "ms").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ms").alias("close"), F.round(F.sum("volume"), 1).alias("volume"))

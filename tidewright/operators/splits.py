@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.bars import BARS_SQL, bars, indexed
+from tidewright.operators.bars import BARS_SQL, bars, numbered
 from tidewright.session import cut, join_small, table
 
 MOST_FOLDS = 100_000
@@ -120,7 +120,7 @@ def q_purged(spark, sf_dir):
 
 def q_walk_forward(spark, sf_dir):
     """Mean return and its deviation over each fold's test bars: folds joined to rows by position."""
-    rows = indexed(bars(table(spark, sf_dir, "candles")))
+    rows = numbered(table(spark, sf_dir, "candles"))
     folds = cut(walk_forward_table(rows.groupBy("stream").agg(F.count(F.lit(1)).alias("n")), 100, 25))
     tested = rows.withColumn("fold", F.expr("cast((i - 100) div 25 as int)")).where("i >= 100")
     both = tested.join(folds.select("stream", "fold", "train_lo", "test_lo", "test_hi"), ["stream", "fold"]).where("i between test_lo and test_hi")
@@ -157,7 +157,7 @@ def q_roles(spark, sf_dir):
     """What the purged folds do with every row: tested, trained, purged or embargoed, the training rows
     whose label reaches into a test label (none may), and whether the fold is causal."""
     span, k = 4, 5
-    rows = indexed(bars(table(spark, sf_dir, "candles"))).select("stream", "i")
+    rows = numbered(table(spark, sf_dir, "candles")).select("stream", "i")
     folds = cut(purged_table(rows.groupBy("stream").agg(F.count(F.lit(1)).alias("n")), k, 3, span).select(F.col("stream").alias("fs"), "fold", "test_lo", "test_hi", "purge_hi", "embargo_hi"))
     j = join_small(rows, folds, F.col("stream").eqNullSafe(F.col("fs")))
     tested = F.col("i").between(F.col("test_lo"), F.col("test_hi"))

@@ -245,7 +245,7 @@ def q_reachable(spark, sf_dir):
 
 
 def q_traversal(spark, sf_dir):
-    """As ``q_reachable``, whose SQL twin ends at two edges, but to the reference's hierarchyTraversalDepth of five."""
+    """As ``q_reachable``, but to the reference's hierarchyTraversalDepth of five."""
     seeds = top_per_compat(_pos(spark, sf_dir).where("importance is not null"), 1).select(F.col("proto_id").alias("seed"))
     return reachable(table(spark, sf_dir, "proto_edges").where("polarity = 'positive'"), seeds, 5).withColumn("distance", F.round("distance", 6))
 
@@ -341,9 +341,21 @@ select proto_id, compat_id, merged_count, row_number() over (partition by compat
 _BOTH = " union all ".join(f"select compat_id, '{x}' polarity, proto_id, importance, row_number() over (partition by compat_id order by importance desc, access_count desc nulls last, last_accessed desc nulls last, proto_id) k from {t} where importance is not null" for x, t in (("positive", "d"), ("negative", "n")))
 READS_SQL = f"with {_D}, {_N}, u as (select * from ({_BOTH}) where k <= 5) select compat_id, polarity, proto_id, round(case when sum(importance) over w > 0 then importance / sum(importance) over w else 0 end, 8) as share from u window w as (partition by compat_id)"
 
+TRAVERSAL_SQL = f"""with recursive {_D}, {_E}, g as (select parent_proto p, child_proto c, min(accum_distance) w from e where polarity = 'positive' group by 1, 2),
+s as (select proto_id seed from (select proto_id, row_number() over (partition by compat_id order by importance desc, access_count desc nulls last, last_accessed desc nulls last, proto_id) n from d where importance is not null) where n = 1),
+u as (select seed, seed x, 0.0::double w, 0 h from s union select u.seed, g.c, u.w + g.w, u.h + 1 from u join g on g.p = u.x where u.h < 5)
+select seed, x as proto_id, round(min(w), 6) as distance, min(h) as hops from u group by 1, 2"""
+#: The 250 most important of each compat_id; k nearest falls from 16 to 4 with the rank; each edge is stored both ways.
+HIERARCHY_SQL = f"""with {_D}, k as (select proto_id, compat_id, mean, variance, row_number() over (partition by compat_id order by importance desc, access_count desc nulls last, last_accessed desc nulls last, proto_id) - 1 i, count(*) over (partition by compat_id) c
+  from d where variance is not null and importance is not null), t as (select *, least(c, 250) n from k where i < 250),
+p as (select a.compat_id, a.proto_id a, b.proto_id b, a.i, a.n, b.i j, list_sum([pow(a.mean[x] - b.mean[x], 2) / ((greatest(a.variance[x], 1e-8) + greatest(b.variance[x], 1e-8)) / 2) / 8
+  + ln((greatest(a.variance[x], 1e-8) + greatest(b.variance[x], 1e-8)) / 2 / sqrt(greatest(a.variance[x], 1e-8) * greatest(b.variance[x], 1e-8))) / 2 for x in range(1, len(a.mean) + 1)]) w from t a join t b on a.compat_id = b.compat_id and a.i <> b.i),
+r as (select *, row_number() over (partition by a order by w, j) rk from p), f as (select * from r where rk <= least(greatest(1, floor(4 + 12 * (1 - i / (n - 1)) + 0.5)), n - 1))
+select parent_proto, child_proto, any_value(round(w, 6)) as accum_distance, compat_id from (select a parent_proto, b child_proto, w, compat_id from f union all select b, a, w, compat_id from f) group by parent_proto, child_proto, compat_id"""
+
 QUERIES = {
     "vault_decay": (q_decay, DECAY_SQL), "vault_content_hash": (q_hash, HASH_SQL), "vault_top": (q_top, TOP_SQL), "vault_purge": (q_purge, PURGE_SQL), "vault_edges": (q_edges, EDGES_SQL),
-    "vault_edge_distance": (q_edge_distance, DIST_SQL), "vault_dangling_edges": (q_dangling, DANGLING_SQL), "vault_reachable": (q_reachable, REACH_SQL), "vault_traversal": (q_traversal, None), "vault_merged": (q_merged, None),
-    "vault_hierarchy": (q_hierarchy, None), "vault_compat": (q_compat, COMPAT_SQL),
+    "vault_edge_distance": (q_edge_distance, DIST_SQL), "vault_dangling_edges": (q_dangling, DANGLING_SQL), "vault_reachable": (q_reachable, REACH_SQL), "vault_traversal": (q_traversal, TRAVERSAL_SQL), "vault_merged": (q_merged, None),
+    "vault_hierarchy": (q_hierarchy, HIERARCHY_SQL), "vault_compat": (q_compat, COMPAT_SQL),
     "vault_upsert": (q_upsert, UPSERT_SQL), "vault_insert_ignore": (q_insert_ignore, INSERT_SQL), "vault_boosted": (q_boosted, BOOST_SQL), "vault_promotions": (q_promotions, PROMOTE_SQL), "vault_reads": (q_memory_reads, READS_SQL),
 }

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 from tidewright.operators.backtest import fold_metrics, strategy
-from tidewright.operators.bars import bar_returns, bars, indexed, own, with_halo
-from tidewright.operators.features import FEATURES, POSITION_SQL, base, causal_z, clamp_position, positions
+from tidewright.operators.bars import BARS_SQL, bar_returns, numbered, own, with_halo
+from tidewright.operators.features import FEATURE_SQL, FEATURES, POSITION_SQL, Z_SQL, _BASE_SQL, base, causal_z, clamp_position, positions
 from tidewright.session import table
 
 YEAR = 252
@@ -95,8 +95,8 @@ def shock_factor(after: Column, size: float = 0.1, frequency: float = 1.7, phase
 def lookahead_audit(candles: DataFrame, at: float = 0.6, feature: str = "momentum") -> DataFrame:
     """Positions on the bars as they are against positions with every bar behind a cut disturbed:
     per stream how many differ up to the cut (none may) and behind it."""
-    rows = indexed(bars(candles))
-    last = rows.groupBy("stream").agg((F.max("i") * at).cast("bigint").alias("cut_at"))
+    rows = numbered(candles)
+    last = rows.groupBy("stream").agg(F.floor(F.max("i") * at).alias("cut_at"))
     rows = rows.join(last, "stream")
     f = shock_factor(F.col("cut_at"))
     shocked = rows.withColumns({c: F.col(c) * f for c in ("open", "high", "low", "close")})
@@ -147,4 +147,23 @@ def q_hysteresis(spark, sf_dir):
 GRID_SQL = POSITION_SQL + ", gz as (select stream, i, ret, dz as dead_zone, case when abs(position) <= dz then 0 else sign(position) * least(1, (abs(position) - dz) / (1 - dz)) end c from pos, (select unnest([0.0, 0.1, 0.2, 0.4])::double dz)), " + """gp as (select *, lag(c, 1, 0) over (partition by stream, dead_zone order by i) p from gz), gc as (select *, abs(p - lag(p, 1, 0) over (partition by stream, dead_zone order by i)) ch from gp)
 select stream, dead_zone, round(sum(p * ret), 8) as gross_pnl, round(sum(ch), 6) as turnover, round(sum(p * ret - ch * 0.0005), 8) as net_pnl, round(avg(case when p <> 0 then 1.0::double else 0 end), 6) as in_market from gc group by 1, 2"""
 
-QUERIES = {"policy_grid": (q_grid, GRID_SQL), "promotion": (q_promotion, None), "lookahead_audit": (q_audit, None), "hysteresis_positions": (q_hysteresis, None)}
+_FOLDED = _BASE_SQL + ", vx as (" + " union all ".join(f"select '{v}' variant, stream, i, ret, {FEATURE_SQL[v]} x from p" for v in ("momentum", "reversal_window", "range_location")) + f"""),
+vz as (select variant, stream, i, ret, i // 100 fold, greatest(-1, least(1, ({Z_SQL.format(x='x').replace('partition by stream', 'partition by variant, stream')}) / 2)) c from vx),
+h1 as (select *, coalesce(lag(c) over (partition by variant, stream, fold order by i), 0) h from vz), h2 as (select *, h * ret - abs(h - coalesce(lag(h) over (partition by variant, stream, fold order by i), 0)) * 0.0005 net from h1),
+fm as (select variant, stream, fold, round(case when count(*) >= 2 then case when stddev_samp(net) > 1e-15 then avg(net) / stddev_samp(net) * sqrt(252) else 0 end end, 6) sr from h2 group by 1, 2, 3)"""
+PROMOTE_SQL = _FOLDED + """, j as (select a.variant, a.sr, b.sr base from fm a join fm b on a.stream = b.stream and a.fold = b.fold and b.variant = 'momentum' and a.variant <> 'momentum' where a.sr is not null and b.sr is not null),
+g as (select variant, count(*) folds, avg(sr - base) delta, avg((sr > base)::int) wins from j group by 1)
+select variant, folds, round(delta, 6) as delta, round(wins, 6) as wins, case when delta - 0.1 <= wins - 0.55 then 'delta' else 'wins' end as tightest, delta >= 0.1 and wins >= 0.55 as promote from g"""
+_MOM = "case when count(ret) over (partition by stream order by i rows between 15 preceding and current row) = 16 then sum(ret) over (partition by stream order by i rows between 15 preceding and current row) end"
+_SHOCK = "case when i <= cut_at then 1 else 1 + 0.1::double * (1 + sin(i * 1.7::double)) end"
+
+
+def _path(name: str, close: str) -> str:
+    return f"""{name}1 as (select *, {close} k from cuts), {name}2 as (select *, case when i = 0 then 0.0 else k / lag(k) over (partition by stream order by i) - 1 end ret from {name}1), {name}3 as (select *, {_MOM} mom from {name}2),
+{name} as (select stream, i, cut_at, round(greatest(-1, least(1, ({Z_SQL.format(x='mom')}) / 2)), 9) position from {name}3)"""
+
+
+AUDIT_SQL = f"with {BARS_SQL}, cuts as (select stream, i, close, floor(max(i) over (partition by stream) * 0.6::double)::bigint cut_at from b), {_path('pa', 'close')}, {_path('pb', f'close * ({_SHOCK})')}" + """
+select stream, count_if(pa.position <> pb.position and i <= pa.cut_at) as before, count_if(pa.position <> pb.position and i > pa.cut_at) > 0 as moved_after from pa join pb using (stream, i) group by 1"""
+
+QUERIES = {"policy_grid": (q_grid, GRID_SQL), "promotion": (q_promotion, PROMOTE_SQL), "lookahead_audit": (q_audit, AUDIT_SQL), "hysteresis_positions": (q_hysteresis, None)}

@@ -17,10 +17,12 @@ QUERIES = {
     "panel_features": (features.q_panel, features.PANEL_SQL),
     "indicators_window": (indicators.q_window, indicators.WINDOW_SQL),
     "indicators_recursive": (indicators.q_recursive, None),
+    "robust_normalized": (indicators.q_normalized, indicators.NORMALIZED_SQL),
+    "interleaved": (indicators.q_interleaved, indicators.INTERLEAVED_SQL),
     "on_balance_volume": (indicators.q_obv, indicators.OBV_SQL),
     "triple_barrier": (labels.q_triple_barrier, labels.TRIPLE_SQL),
     "label_uniqueness": (labels.q_uniqueness, labels.UNIQUE_SQL),
-    "cusum_events": (labels.q_cusum, None),
+    "cusum_events": (labels.q_cusum, labels.CUSUM_SQL),
     "purged_folds": (splits.q_purged, splits.PURGED_SQL),
     "sample_weights": (labels.q_sample_weights, labels.WEIGHTS_SQL),
     "combinatorial_folds": (splits.q_combinatorial, splits.CPCV_SQL),

@@ -43,6 +43,33 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def written_once(source: DataFrame, what: str, build) -> DataFrame:
+    """``build(source)`` as a written table that later queries of the session read again, as long as the
+    files behind ``source`` stay the same (name, length and time of change). A source that is not
+    read from files is built anew each time, and so is one whose folder cannot be listed."""
+    spark = source.sparkSession
+    files = source.inputFiles()
+    if not files:
+        return build(source)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stamps = []
+    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        names = {f.rsplit("/", 1)[1] for f in files if f.rsplit("/", 1)[0] == folder}
+        for s in place.getFileSystem(conf).listStatus(place):
+            if s.getPath().getName() in names:
+                stamps.append((folder, s.getPath().getName(), s.getLen(), s.getModificationTime()))
+    if len(stamps) != len(set(files)):
+        return build(source)
+    key = (spark.sparkContext.applicationId, what, source.semanticHash(), hash(tuple(sorted(stamps))))
+    if key not in _WRITTEN:
+        _WRITTEN[key] = cut(build(source))
+    return _WRITTEN[key]
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", row_bytes: int = 96) -> DataFrame:
     """Join with a side that is usually small: broadcast below ``BROADCAST_BYTES``, shuffled beyond.
 
