@@ -216,6 +216,74 @@ def concentration(sums: DataFrame, tops: tuple[int, ...] = (1, 5, 20)) -> DataFr
     return j.select("variant", "folds", *[F.round(c, 7).alias(c) for c in ("total", "above", "below")], *[F.round(F.when(F.col("total") > 0, F.col(f"t{k}") / F.col("total")), 5).alias(f"top_{k}") for k in tops])
 
 
+def relative_performance(rows: DataFrame, baseline: str = BASELINE, variants: tuple[str, ...] = VARIANTS, size: int = FOLD) -> DataFrame:
+    """Each candidate's net return less the baseline's, bar by bar: count, mean, deviation and ratio."""
+    at, w = F.expr(f"i % {size}"), order()
+    held = {f"p_{v}": F.coalesce(F.lag(f"z_{v}").over(w), F.lit(0.0)) for v in variants}
+    rows = rows.withColumns(held).withColumns({f"q_{v}": F.coalesce(F.lag(f"p_{v}").over(w), F.lit(0.0)) for v in variants})
+    rows = rows.withColumns({f"n_{v}": net_by_fold(F.col(f"p_{v}"), F.col(f"q_{v}"), at) for v in variants}).where("own")
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(v).alias("variant"), (F.col(f"n_{v}") - F.col(f"n_{baseline}")).alias("d")) for v in variants if v != baseline])))
+    n, s, ss = F.count(F.lit(1)), F.sum("d"), F.sum(F.col("d") * F.col("d"))
+    return long.groupBy("variant").agg(n.alias("bars"), F.round(F.avg("d") * 1e6, 5).alias("mean_millionths"), F.round(F.stddev_samp("d"), 8).alias("deviation"), F.round(sharpe_of(n, s, ss), 5).alias("sharpe"))
+
+
+def variance_components(sums: DataFrame) -> DataFrame:
+    """Where the variance of the fold ratios lies: between variants, between the folds of a variant, and
+    between the streams of one variant's fold, with the shares. One row."""
+    r = sharpe_of(F.col("n"), F.col("s"), F.col("ss"))
+    cells = sums.select("variant", "fold", r.alias("x")).groupBy("variant", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    cells = cut(cells)
+    arms = cells.groupBy("variant").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")])
+    whole = arms.agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")]).select("n", (F.col("s") / F.col("n")).alias("mean"), (F.col("ss") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2))).alias("total"))
+    between = arms.crossJoin(F.broadcast(whole.select("mean"))).agg((F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("mean"), F.lit(2))) / F.sum("n")).alias("between"))
+    rest = cells.agg((F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / F.sum("n")).alias("residual"))
+    j = whole.crossJoin(F.broadcast(between)).crossJoin(F.broadcast(rest)).withColumn("folds", F.greatest(F.lit(0.0), F.col("total") - F.col("between") - F.col("residual")))
+    share = lambda c: F.round(F.when(F.col("total") > 0, F.col(c) / F.col("total")), 6)
+    return j.select(F.col("n").alias("cells"), *[F.round(c, 5).alias(c) for c in ("mean", "total", "between", "folds", "residual")], share("between").alias("variant_share"), share("folds").alias("fold_share"))
+
+
+ARMS = ("momentum", "vol_regime", "momentum_agreement", "range_location", "volume_imbalance", "autocorr1", "acceleration", "reversal", "reversal_window")
+
+
+def halving_schedule(arms: int, most: int, least: int = 1, eta: int = 3) -> list[tuple[int, int, int]]:
+    """``(budget, arms, keep)`` of every rung: the budget grows by ``eta`` and the arms shrink by it."""
+    rounds, out, left = max(1, int(math.log(most / least) / math.log(eta) + 1e-12) + 1), [], arms
+    for r in range(rounds):
+        if left <= 1:
+            break
+        keep = max(1, -(-left // eta))
+        out.append((round(most / eta ** (rounds - 1 - r)), left, keep))
+        left = keep
+    return out
+
+
+def race(sums: DataFrame, most: int = 9) -> DataFrame:
+    """Successive halving of the variants in ``sums``: every rung scores the arms that are left on the first
+    folds of its budget, and keeps the best. ``(variant, rung, budget, score, place, kept)``; ties by name."""
+    per = cut(sums.groupBy("variant", "fold").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")]).where(F.col("fold") < most))
+    left, out = per.select("variant").distinct(), None
+    for rung, (budget, _, keep) in enumerate(halving_schedule(per.select("variant").distinct().count(), most)):
+        one = per.where(F.col("fold") < budget).join(F.broadcast(left), "variant").groupBy("variant").agg(sharpe_of(F.sum("n"), F.sum("s"), F.sum("ss")).alias("score"))
+        place = F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "variant"))  # a row an arm
+        one = cut(one.withColumn("place", place).select("variant", F.lit(rung).alias("rung"), F.lit(budget).alias("budget"), "score", "place", (F.col("place") <= keep).alias("kept")))
+        left = one.where("kept").select("variant")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def decision_report(sums: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One line a candidate from all the evidence: its ratio, the difference to the baseline with its t, the share
+    of left-out differences and of blocks above 0, what its five best folds make, and the verdict:
+    underpowered, promote or keep."""
+    report = pooled_report(sums).select(F.col("variant").alias("rv"), "sharpe", "detectable")
+    steady = blocks.select(F.col("variant").alias("bv"), "positive").distinct()
+    top = concentration(sums).select(F.col("variant").alias("cv"), "top_5")
+    j = paired_promotion(sums).join(report, F.col("variant") == F.col("rv")).join(steady, F.col("variant") == F.col("bv")).join(top, F.col("variant") == F.col("cv"))
+    good = (F.col("difference") > 0) & (F.col("t") > 2) & (F.col("stable") >= 1) & (F.col("positive") > 0.5)
+    verdict = F.when(good, "promote").when(F.col("detectable") > 1, "underpowered").otherwise("keep")
+    return j.select("variant", "sharpe", "difference", "t", "stable", "sign_p", "positive", "top_5", verdict.alias("verdict"))
+
+
 def _sums(spark, sf_dir):
     return cut(fold_sums(confidences(table(spark, sf_dir, "candles"))))
 
@@ -252,16 +320,39 @@ def q_persistence(spark, sf_dir):
     return persistence(confidences(table(spark, sf_dir, "candles"), (BASELINE,)))
 
 
+def q_relative(spark, sf_dir):
+    return relative_performance(confidences(table(spark, sf_dir, "candles")))
+
+
+def q_components(spark, sf_dir):
+    return variance_components(_sums(spark, sf_dir))
+
+
+def q_race(spark, sf_dir):
+    out = race(cut(fold_sums(confidences(table(spark, sf_dir, "candles"), ARMS), ARMS)))
+    return out.withColumn("score", F.round("score", 5))
+
+
+def q_decision(spark, sf_dir):
+    rows = confidences(table(spark, sf_dir, "candles"))
+    return decision_report(cut(fold_sums(rows)), block_stability(rows))
+
+
 def _ratio(n: str, s: str, ss: str) -> str:
     return f"case when {n} >= 2 then case when sqrt(greatest(0, ({ss} - {s} * {s} / {n}) / ({n} - 1))) > 1e-12 then {s} / {n} / sqrt(greatest(0, ({ss} - {s} * {s} / {n}) / ({n} - 1))) * sqrt(252) else 0 end end"
 
 
-_CONF = _BASE_SQL + ", vx as (" + " union all ".join(f"select '{v}' variant, stream, i, ret, {FEATURE_SQL[v]} x from p" for v in VARIANTS) + f"""),
+def _conf(variants: tuple[str, ...]) -> str:
+    return _BASE_SQL + ", vx as (" + " union all ".join(f"select '{v}' variant, stream, i, ret, {FEATURE_SQL[v]} x from p" for v in variants) + f"""),
 vz as (select variant, stream, i, ret, greatest(-1, least(1, ({Z_SQL.format(x='x').replace('partition by stream', 'partition by variant, stream')}) / 2)) c from vx)"""
+
+
+_CONF = _conf(VARIANTS)
 #: Net returns fold by fold, lag and entry inside the fold.
-_NET = _CONF + """, h1 as (select *, i // 100 fold, coalesce(lag(c) over (partition by variant, stream, i // 100 order by i), 0) h from vz),
+_FOLDS = """, h1 as (select *, i // 100 fold, coalesce(lag(c) over (partition by variant, stream, i // 100 order by i), 0) h from vz),
 h2 as (select *, h * ret - abs(h - coalesce(lag(h) over (partition by variant, stream, fold order by i), 0)) * 0.0005 net from h1),
 fs as (select variant, stream, fold, count(*) n, sum(net) s, sum(net * net) ss from h2 group by 1, 2, 3 having count(*) = 100)"""
+_NET = _CONF + _FOLDS
 _LEFT = _NET + f""", cl as (select variant, fold, sum(n) n, sum(s) s, sum(ss) ss from fs group by 1, 2), tt as (select variant, sum(n) tn, sum(s) ts, sum(ss) tss from cl group by 1),
 jk as (select cl.variant, fold, n, {_ratio('n', 's', 'ss')} own, {_ratio('tn', 'ts', 'tss')} whole, {_ratio('(tn - n)', '(ts - s)', '(tss - ss)')} lft from cl join tt using (variant))"""
 REPORT_SQL = _LEFT + f""", wh as (select variant, count(*) clusters, sum(n)::bigint bars, max(whole) sr, sqrt((count(*) - 1) * var_pop(lft)) sc from jk group by 1),
@@ -296,7 +387,31 @@ CONCENTRATION_SQL = _NET + """, rk as (select *, row_number() over (partition by
 select variant, count(*) as folds, round(sum(s), 7) as total, round(sum(case when s > 0 then s else 0 end), 7) as above, round(sum(case when s < 0 then s else 0 end), 7) as below, round(case when sum(s) > 0 then sum(s) filter (where r <= 1) / sum(s) end, 5) as top_1,
   round(case when sum(s) > 0 then sum(s) filter (where r <= 5) / sum(s) end, 5) as top_5, round(case when sum(s) > 0 then sum(s) filter (where r <= 20) / sum(s) end, 5) as top_20 from rk group by 1"""
 
+RELATIVE_SQL = _NET + f""", rl as (select a.variant, a.net - b.net d from h2 a join h2 b on a.stream = b.stream and a.i = b.i and b.variant = 'momentum' and a.variant <> 'momentum')
+select variant, count(*) as bars, round(avg(d) * 1e6, 5) as mean_millionths, round(stddev_samp(d), 8) as deviation, round({_ratio('count(*)', 'sum(d)', 'sum(d * d)')}, 5) as sharpe from rl group by 1"""
+COMPONENTS_SQL = _NET + f""", cx as (select variant, fold, {_ratio('n', 's', 'ss')} x from fs), gm as (select count(*) n, avg(x) mu, var_pop(x) tot from cx), bt as (select sum(n * pow(m - mu, 2)) / sum(n) b from (select variant, count(*) n, avg(x) m from cx group by 1), (select mu from gm)),
+rs as (select sum(pow(x - m, 2)) / count(*) r from (select x, avg(x) over (partition by variant, fold) m from cx)), al as (select n, mu, tot, b, r, greatest(0, tot - b - r) f from gm, bt, rs)
+select n as cells, round(mu, 5) as mean, round(tot, 5) as total, round(b, 5) as "between", round(f, 5) as folds, round(r, 5) as residual, round(case when tot > 0 then b / tot end, 6) as variant_share, round(case when tot > 0 then f / tot end, 6) as fold_share from al"""
+_RUNGS = halving_schedule(len(ARMS), 9)
+
+
+def _race_sql() -> str:
+    out, parts = _conf(ARMS) + _FOLDS, []
+    for r, (budget, _, keep) in enumerate(_RUNGS):
+        left = f" where variant in (select variant from rg{r - 1} where kept)" if r else ""
+        out += f""", rs{r} as (select variant, {_ratio('sum(n)', 'sum(s)', 'sum(ss)')} score from fs{left or ' where true'} and fold < {budget} group by 1),
+rg{r} as (select variant, {r}::int rung, {budget}::int budget, score, row_number() over (order by round(score, 9) desc, variant)::int place, row_number() over (order by round(score, 9) desc, variant) <= {keep} kept from rs{r})"""
+        parts.append(f"select variant, rung, budget, round(score, 5) as score, place, kept from rg{r}")
+    return out + " " + " union all ".join(parts)
+
+
+RACE_SQL = _race_sql()
+DECISION_SQL = f"""with q1 as ({PROMOTION_SQL}), q2 as ({REPORT_SQL}), q3 as (select distinct variant, positive from ({BLOCKS_SQL})), q4 as ({CONCENTRATION_SQL})
+select q1.variant, q2.sharpe, q1.difference, q1.t, q1.stable, q1.sign_p, q3.positive, q4.top_5, case when difference > 0 and t > 2 and stable >= 1 and positive > 0.5 then 'promote' when detectable > 1 then 'underpowered' else 'keep' end as verdict
+from q1 join q2 using (variant) join q3 using (variant) join q4 using (variant)"""
+
 QUERIES = {
     "pooled_report": (q_report, REPORT_SQL), "promotion_test": (q_promotion, PROMOTION_SQL), "block_stability": (q_blocks, BLOCKS_SQL), "family_correlation": (q_family, FAMILY_SQL),
     "fold_concentration": (q_concentration, CONCENTRATION_SQL), "cadence_restated": (q_cadence, CADENCE_SQL), "exposure_matched": (q_exposure, EXPOSURE_SQL), "confidence_persistence": (q_persistence, PERSISTENCE_SQL),
+    "relative_performance": (q_relative, RELATIVE_SQL), "variance_components": (q_components, COMPONENTS_SQL), "variant_race": (q_race, RACE_SQL), "decision_report": (q_decision, DECISION_SQL),
 }
