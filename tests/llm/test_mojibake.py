@@ -96,3 +96,9 @@ def test_rows(spark):
     out = repaired(df).collect()
     assert [r["doc_id"] for r in out] == [2, 2] and out[0]["restored"] == TEXT
     assert repaired(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("page", ["cp1252", "cp1251", "cp1250", "mac_roman", "cp437", "cp850", "cp866", "koi8_r"])
+def test_a_page_that_is_proven_decodes_the_rest_of_its_text(page):
+    text = f"{RUSSIAN}\n«В разделе» — ¿Qué? „Näherung“, L’été 5 ± 2 °C\n├── data │\n{TEXT}"
+    assert restore(garble(text, "utf-8", page))[0] == text

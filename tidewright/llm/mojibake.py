@@ -163,8 +163,10 @@ WESTERN = ("cp1252", "cp1250", "mac_roman")
 
 def _believed(run: str, chain: list[tuple[int, int, str]], name: str, before: str, after: str, proven: str) -> bool:
     """Whether a maximal chain of touching sequences came from the wrong page."""
+    if name == proven and any(s[2] in FAMILIAR or s[1] - s[0] > 2 for s in chain):
+        return True
     known = [s for s in chain if (s[2] in FAMILIAR or s[2] == "\ufffd") and _led(run[s[0]], name)]
-    if any(_strong(run, s, name, before, after) or name == proven and s[2].isalpha() for s in known):
+    if any(_strong(run, s, name, before, after) for s in known):
         return True
     i, j = chain[0][0], chain[-1][1]
     if len(known) == len(chain):
@@ -178,7 +180,7 @@ def _believed(run: str, chain: list[tuple[int, int, str]], name: str, before: st
         return False
     if len(chain) == 1 and j - i == 2:  # a Latin letter within a word, or a Greek one alone
         return scripts == {"LATIN"} and (prev + nxt).isascii() and (prev.isalpha() or nxt.isalpha()) or scripts == {"GREEK"} and not prev.isalpha() and not nxt.isalpha()
-    return len(chain) > 2 or name not in ("cp850", "cp866", "cp1251", "koi8_r")
+    return len(chain) > 2 or name not in ("cp850", "cp866", "cp1251", "koi8_r") or all("\u2010" <= s[2] <= "\u22ff" for s in chain)
 
 
 _seen: dict[tuple[str, str, str, str], tuple[str, list[tuple[int, int, str]]]] = {}
