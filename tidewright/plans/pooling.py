@@ -239,7 +239,7 @@ def variance_components(sums: DataFrame) -> DataFrame:
     rest = cells.agg((F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / F.sum("n")).alias("residual"))
     j = whole.crossJoin(F.broadcast(between)).crossJoin(F.broadcast(rest)).withColumn("folds", F.greatest(F.lit(0.0), F.col("total") - F.col("between") - F.col("residual")))
     share = lambda c: F.round(F.when(F.col("total") > 0, F.col(c) / F.col("total")), 6)
-    return j.select(F.col("n").alias("cells"), *[F.round(c, 5).alias(c) for c in ("mean", "total", "between", "folds", "residual")], share("between").alias("variant_share"), share("folds").alias("fold_share"))
+    return j.select(F.coalesce("n", F.lit(0)).alias("cells"), *[F.round(c, 5).alias(c) for c in ("mean", "total", "between", "folds", "residual")], share("between").alias("variant_share"), share("folds").alias("fold_share"))
 
 
 ARMS = ("momentum", "vol_regime", "momentum_agreement", "range_location", "volume_imbalance", "autocorr1", "acceleration", "reversal", "reversal_window")
@@ -259,15 +259,16 @@ def halving_schedule(arms: int, most: int, least: int = 1, eta: int = 3) -> list
 
 def race(sums: DataFrame, most: int = 9) -> DataFrame:
     """Successive halving of the variants in ``sums``: every rung scores the arms that are left on the first
-    folds of its budget, and keeps the best. ``(variant, rung, budget, score, place, kept)``; ties by name."""
+    folds of its budget, and keeps the best. ``(variant, rung, budget, score, place, kept)``; ties by name, no
+    rows without two variants."""
     per = cut(sums.groupBy("variant", "fold").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")]).where(F.col("fold") < most))
-    left, out = per.select("variant").distinct(), None
+    left = per.select("variant").distinct()
+    out = sums.sparkSession.createDataFrame([], "variant string, rung int, budget int, score double, place int, kept boolean")
     for rung, (budget, _, keep) in enumerate(halving_schedule(per.select("variant").distinct().count(), most)):
         one = per.where(F.col("fold") < budget).join(F.broadcast(left), "variant").groupBy("variant").agg(sharpe_of(F.sum("n"), F.sum("s"), F.sum("ss")).alias("score"))
         place = F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "variant"))  # a row an arm
         one = cut(one.withColumn("place", place).select("variant", F.lit(rung).alias("rung"), F.lit(budget).alias("budget"), "score", "place", (F.col("place") <= keep).alias("kept")))
-        left = one.where("kept").select("variant")
-        out = one if out is None else out.unionByName(one)
+        left, out = one.where("kept").select("variant"), out.unionByName(one)
     return out
 
 
