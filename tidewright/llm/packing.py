@@ -179,7 +179,7 @@ def p7_packed(spark, sf_dir: str) -> DataFrame:
     return pack(cut(token_counts(table(spark, sf_dir, "documents"))), 4096)
 
 
-def p7_characters(spark, sf_dir: str) -> DataFrame:
+def p7_packed_characters(spark, sf_dir: str) -> DataFrame:
     """Whether a packing is right, in one row: documents sized in characters into containers of 16,384. Pieces
     and characters placed, containers over capacity (none may be), pieces of a split document that do not
     fill their container (its last one only), and whether the containers are within a hundredth of the fewest possible."""

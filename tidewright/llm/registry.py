@@ -12,8 +12,8 @@ QUERIES = {
     "p6_found": (forest.p6_found, forest.P6_SQL),
     "p6_neighbours": (forest.p6_neighbours, None),
     "p6_classes": (forest.p6_classes, forest.P6_CLASSES_SQL),
-    "p7_characters": (packing.p7_characters, packing.P7_CHARACTERS_SQL),
     "p7_packed": (packing.p7_packed, None),
+    "p7_packed_characters": (packing.p7_packed_characters, packing.P7_CHARACTERS_SQL),
     "p8_found": (leakage.p8_found, leakage.P8_SQL),
     "p8_passages": (leakage.p8_passages, None),
     "p8_clean": (leakage.p8_clean, leakage.P8_CLEAN_SQL),
