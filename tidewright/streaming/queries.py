@@ -60,13 +60,18 @@ def latest(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def first_wins(candles: DataFrame, late: str = "30 days") -> DataFrame:
-    """Rows of one stream and stamp made one within the watermark."""
-    return candles.where("ts is not null").withWatermark("ts", late).dropDuplicatesWithinWatermark(["stream", "ts"])
+    """Rows of one stream and stamp made one: the row that arrived first (the smallest row_id). The state
+    holds one row a stamp and lets it go behind the watermark; a batch that brings an earlier arrival
+    updates the row, so the last update counts. Rows without a stamp are left out."""
+    came = candles.where("ts is not null").withWatermark("ts", late)
+    kept = F.min_by(F.struct("row_id", "open", "high", "low", "close", "volume"), "row_id")
+    return came.groupBy("stream", "ts").agg(kept.alias("r")).select("stream", "ts", "r.*")
 
 
 def ema_alerts(events: DataFrame, decay: float = 0.9, factor: float = 5.0) -> DataFrame:
     """Events whose value exceeds ``factor`` times the exponential mean of their type's earlier
-    values; the mean lives in the state store. Rows are put in order inside a micro-batch."""
+    values; the mean lives in the state store. Rows are put in order inside a micro-batch, whose size
+    the source's ``maxFilesPerTrigger`` bounds; over batches they must come in order."""
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
@@ -86,7 +91,8 @@ def ema_alerts(events: DataFrame, decay: float = 0.9, factor: float = 5.0) -> Da
 
 def settle_stream(rows: DataFrame, up: float = 0.02, down: float = 0.01, horizon: int = 24) -> DataFrame:
     """Settlement of a trade per bar by later bars' highs and lows. The state of a stream is its
-    bar count and at most ``horizon`` open trades; a bar settles before it opens its own."""
+    bar count and at most ``horizon`` open trades; a bar settles before it opens its own. Bars must come
+    in order over micro-batches (inside one they are put in order); late ones need a buffer before."""
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(frames)).sort_values("us")
@@ -118,8 +124,8 @@ def q_bars(spark, sf_dir):
 
 def q_first_wins(spark, sf_dir):
     path = f"{sf_dir}/candles.parquet"
-    out = run_to_end(first_wins(open_stream(spark, path, spark.read.parquet(path).schema)))
-    return out.groupBy("stream").agg(F.count(F.lit(1)).alias("stamps"), F.unix_micros(F.max("ts")).alias("last_us"))
+    out = latest(run_to_end(first_wins(open_stream(spark, path, spark.read.parquet(path).schema)), "update"), "stream", "ts")
+    return out.groupBy("stream").agg(F.count(F.lit(1)).alias("stamps"), F.unix_micros(F.max("ts")).alias("last_us"), F.sum("row_id").alias("row_ids"), F.max("close").alias("close"))
 
 
 def q_alerts(spark, sf_dir):
@@ -137,7 +143,8 @@ def q_settled(spark, sf_dir):
 
 BARS_STREAM_SQL = """select event_type, epoch_us(date_trunc('hour', ts)) as us, arg_min(value, {'a': ts, 'b': event_id}) as open, max(value) as high, min(value) as low,
   arg_max(value, {'a': ts, 'b': event_id}) as close, count(*) as volume from events group by 1, 2"""
-FIRST_SQL = "select stream, count(distinct ts) as stamps, epoch_us(max(ts)) as last_us from candles where ts is not null group by 1"
+FIRST_SQL = """select stream, count(*) as stamps, max(us) as last_us, sum(row_id)::bigint as row_ids, max(close) as close
+from (select stream, epoch_us(ts) us, min(row_id) row_id, (arg_min({'c': close}, row_id)).c as close from candles where ts is not null group by 1, 2) group by 1"""
 
 QUERIES = {
     "stream_bars": (q_bars, BARS_STREAM_SQL), "stream_first_wins": (q_first_wins, FIRST_SQL), "stream_ema_alerts": (q_alerts, None),
