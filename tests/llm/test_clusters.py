@@ -118,3 +118,110 @@ def test_inflation_decides_the_markov_clusters(spark):
         by[inflation] = {r["cluster_key"]: r.asDict() for r in C.described(out, df, "attractor").collect()}
     assert len(by[1.1]) < len(by[2.0])
     assert by[2.0]["a0"]["records"] >= 6 and sum(r["merged_count"] for r in by[2.0].values()) == 19 and by[2.0]["a0"]["typical_1"][0] == "a"
+
+
+def markov_by_hand(rows, near=1.5, rounds=12, prune=1e-3):
+    """Limit of the flow over every alike pair, component by component: {proto_id: (attractor's members, strength)}."""
+    good = {p: (c, np.array(m), np.array(v)) for p, c, m, v, _ in rows}
+    ids = sorted(good)
+    n = len(ids)
+    w = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i + 1, n):
+            (c1, m1, v1), (c2, m2, v2) = good[ids[i]], good[ids[j]]
+            if c1 == c2 and (d := C.distances(m1[None], v1[None], m2[None], v2[None])[0]) < near:
+                w[i, j] = w[j, i] = np.exp(-d)
+    strength, links = {}, {p: int((w[i] > 0).sum()) for i, p in enumerate(ids)}
+    a, b = np.nonzero(np.triu(w))
+    root = C._roots(n, a, b)
+    for r in set(root.tolist()):
+        at = np.flatnonzero(root == r)
+        m = w[np.ix_(at, at)]
+        if len(at) > 1:
+            m[np.arange(len(at)), np.arange(len(at))] = m.max(0)
+            m /= m.sum(0)
+            for _ in range(rounds):
+                m = (m @ m) ** 2
+                m[m < prune * m.max(0)] = 0
+                m /= m.sum(0)
+                if (m.max(0) - (m * m).sum(0)).max() <= 1e-3:
+                    break
+        strength |= {ids[k]: s for k, s in zip(at, m.sum(1), strict=True)}
+    return strength, links
+
+
+def dense_rows(seed=5):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g, (n, spread) in enumerate([(40, 0.25), (30, 0.6), (3, 0.1), (1, 0.1), (25, 0.4)]):
+        for m in rng.normal(0, spread, (n, 4)) + 9.0 * g:
+            rows.append((f"g{g}-{len(rows)}", 1 + g % 2, m.tolist(), np.exp(rng.normal(0, 0.05, 4)).tolist(), 1))
+    return rows
+
+
+@pytest.mark.parametrize("dense_nodes", [3072, 3])
+def test_every_link_enters_the_flow_of_the_markov_clusters(spark, dense_nodes):
+    rows = dense_rows()
+    strength, links = markov_by_hand(rows)
+    assert max(links.values()) > 30
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["proto_id"]: r for r in C.clustered(df, C.ClusterSpec(partners=None, dense_nodes=dense_nodes, leaf=16)).collect()}
+    assert len(got) == len(rows)
+    for p, r in got.items():
+        assert r["strength"] == pytest.approx(strength[p] if links[p] else 0.0, rel=1e-6, abs=1e-2)
+
+
+def test_p4_markov_and_p4_clusters_follow_every_link(spark, tmp_path):
+    rows = dense_rows()
+    strength, links = markov_by_hand(rows)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/volatile_positive.parquet")
+    for run in (C.p4_clusters, C.p4_markov):
+        out = run(spark, str(tmp_path)).collect()
+        assert sum(r["records"] for r in out) == len(rows)
+        for r in out:
+            if links[r["cluster_key"]]:
+                of = max((strength[p] for p in strength if p.startswith(r["cluster_key"][:3])))
+                assert run is C.p4_markov or strength[r["typical_1"]] == pytest.approx(of, rel=1e-3)
+
+
+def test_pairs_are_every_alike_pair_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"p{k}", 1 + k % 2, m, v, 1) for k, (m, v) in enumerate(zip(rng.normal(0, 1.2, (900, 5)).tolist(), np.exp(rng.normal(0, 0.2, (900, 5))).tolist(), strict=True))]
+    classes, members = C.records(spark.createDataFrame(rows, SCHEMA))
+    name = {r["id"]: int(r["proto_id"][1:]) for r in members.collect()}
+    want = {}
+    for c in (0, 1):
+        i = np.arange(c, 900, 2)
+        m, v = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        a, b, d = C._exact(m, v, *(i[k] for k in np.triu_indices(len(i), 1)), 1.5)
+        want |= {(x, y): z for x, y, z in zip(a.tolist(), b.tolist(), d.tolist(), strict=True)}
+    for spec in (C.WHOLE, C.ClusterSpec(partners=None, leaf=16, dense=32), C.ClusterSpec(partners=None, leaf=16, task_rows=80, fit_rows=200)):
+        graph = C.pairs(classes, spec).collect()
+        assert len({(r["a"], r["b"]) for r in graph}) == len(graph)
+        got = {tuple(sorted((name[r["a"]], name[r["b"]]))): r["distance"] for r in graph if r["distance"] is not None}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        star = [(name[r["a"]], name[r["b"]]) for r in graph if r["star"]]
+        for edges in (star, list(want)):
+            e = np.array(edges)
+            roots = C._roots(900, e[:, 0], e[:, 1])
+            assert edges is not star or len(star) < 4 * 900 or spec.task_rows < 900
+            first = roots if edges is star else first
+            assert (roots == first).all()
+
+
+def test_leaves_give_each_pair_once():
+    rng = np.random.default_rng(7)
+    m, v = rng.normal(0, 2.0, (1200, 3)), np.ones((1200, 3))
+    spec = C.ClusterSpec(partners=None, leaf=32)
+    a, b = (np.concatenate(c) for c in list(zip(*(t for i, seen in C._leaves(m, v, spec) for t in C._tiles(m, v, i, spec.near, seen)), strict=True))[:2])
+    x, y, _ = C._within(m, v, np.arange(1200), spec.near)
+    assert len(a) == len(x) and set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(x.tolist(), y.tolist(), strict=True))
+
+
+def test_pairs_far_from_the_origin_are_found():
+    rng = np.random.default_rng(9)
+    m, v = rng.normal(0, 1.0, (300, 4)), np.ones((300, 4))
+    far = m * 1e-3 + 1e6
+    want = C._exact(far, v * 1e-6, *np.triu_indices(300, 1), 1.5)
+    a, b, _ = C._within(far, v * 1e-6, np.arange(300), 1.5)
+    assert len(want[0]) and set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(want[0].tolist(), want[1].tolist(), strict=True))

@@ -1,9 +1,9 @@
 """Problem 4: clusters of mutually similar records by Markov clustering.
 
 Candidates come from a lossless division of the space, the similarity graph from the exact
-distance. Flow is spread by squaring the sparse transition matrix, sharpened by inflation and
-thinned by pruning small entries, all as joins and aggregates; attractors name the clusters and
-the rows with the strongest flow represent them.
+distance. Flow is spread by squaring the transition matrix, sharpened by inflation and thinned by
+pruning small entries: a component at a time where its matrix fits a task, else by joins and
+aggregates; attractors name the clusters and the rows with the strongest flow represent them.
 """
 
 from __future__ import annotations
@@ -30,13 +30,15 @@ BLOCKS = 1024
 class ClusterSpec:
     """``near``: distance under which two records are alike. ``partners``: strongest links of a
     record that enter the flow graph; the rest only matter to which records hang together, and
-    that is kept exactly. ``leaf``: records compared all with all; in a dense place that no cut
+    that is kept exactly. With None every link enters it and no entry of the flow is left out for
+    its rank, which the Markov clusters themselves need (``WHOLE``). ``leaf``: records compared all with all; in a dense place that no cut
     divides, ``dense`` neighbours along the direction of spread are, and chains beyond them are
     still found exactly. ``task_rows``: larger groups are divided among tasks, along directions
-    fitted on at most ``fit_rows`` of a group."""
+    fitted on at most ``fit_rows`` of a group. ``dense_nodes``: largest component whose flow is one
+    matrix in a task."""
 
     near: float = 1.5
-    partners: int = 12
+    partners: int | None = 12
     inflation: float = 2.0
     prune: float = 1e-3
     rounds: int = 12
@@ -44,6 +46,11 @@ class ClusterSpec:
     dense: int = 2048
     task_rows: int = 16_384
     fit_rows: int = 4096
+    dense_nodes: int = 3072
+
+
+#: Every link enters the flow.
+WHOLE = ClusterSpec(partners=None)
 
 
 def distances(m1, v1, m2, v2) -> np.ndarray:
@@ -53,6 +60,11 @@ def distances(m1, v1, m2, v2) -> np.ndarray:
     return ((m1 - m2) ** 2 / mid).sum(1) / 8 + np.log(mid / np.sqrt(v1 * v2)).sum(1) / 2
 
 
+def _rounding(dim: int) -> float:
+    """Bound of the relative error of a sum of ``dim`` products."""
+    return 4 * (dim + 4) * np.finfo(np.float64).eps
+
+
 def _direction(x: np.ndarray) -> np.ndarray:
     """Roughly the direction of greatest spread, by a few power iterations."""
     x = x[:: max(1, len(x) // 2048)]
@@ -76,37 +88,51 @@ def _split(m: np.ndarray, v: np.ndarray, near: float) -> tuple[np.ndarray, np.nd
     """
     x = m / np.sqrt(np.maximum(v, LEAST_VARIANCE).max(0))
     p = x @ _direction(x)
-    at, margin = np.median(p), math.sqrt(8 * near) / 2 * (1 + 1e-9)
+    if not np.isfinite(p).all():
+        return None
+    at, margin = np.median(p), math.sqrt(8 * near) / 2 * (1 + 1e-9) + _rounding(x.shape[1]) * np.abs(x).sum(1).max()
     left, right = p <= at + margin, p >= at - margin
     if max(left.sum(), right.sum()) > 0.9 * len(p):
         return None
     return left, right, p
 
 
-def _leaves(m: np.ndarray, v: np.ndarray, spec: ClusterSpec) -> Iterator[np.ndarray]:
-    todo = [np.arange(len(m))]
+def _leaves(m: np.ndarray, v: np.ndarray, spec: ClusterSpec) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(records, seen)`` of each leaf. Two records whose ``seen`` share a bit went left together at
+    some cut above, so another leaf has that pair too, and has it once."""
+    todo = [(np.arange(len(m)), np.zeros(len(m), np.int64), 0)]
     while todo:
-        i = todo.pop()
+        i, seen, turns = todo.pop()
         cut_ = _split(m[i], v[i], spec.near) if len(i) > spec.leaf else None
         if cut_ is None:
-            yield i
+            yield i, seen
         else:
-            todo += [i[cut_[0]], i[cut_[1]]]
+            left, right, _ = cut_
+            bit = left.astype(np.int64) << turns if turns < 63 else 0
+            todo += [(i[left], seen[left], turns), (i[right], (seen | bit)[right], turns + 1)]
 
 
 def _within(m: np.ndarray, v: np.ndarray, i: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs ``(a, b, distance)`` under ``near`` among the records ``i``."""
-    x = m[i] / np.sqrt(np.maximum(v[i], LEAST_VARIANCE).max(0))
+    return tuple(np.concatenate(c) for c in zip(*_tiles(m, v, i, near), strict=True))
+
+
+def _tiles(m: np.ndarray, v: np.ndarray, i: np.ndarray, near: float, seen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of ``_within`` in pieces of bounded size, without those that ``seen`` gives to another leaf."""
+    x = (m[i] - m[i].mean(0)) / np.sqrt(np.maximum(v[i], LEAST_VARIANCE).max(0))
     sq = (x**2).sum(1)
-    out = []
     for lo in range(0, len(i), 512):
         for hi in range(lo, len(i), 512):
-            d2 = sq[lo : lo + 512, None] + sq[None, hi : hi + 512] - 2 * x[lo : lo + 512] @ x[hi : hi + 512].T
-            a, b = np.nonzero(d2 < 8 * near * (1 + 1e-9) + 1e-6)
+            both = sq[lo : lo + 512, None] + sq[None, hi : hi + 512]
+            # what rounding could hide, or what is no number here, is left to the exact distance
+            d2 = both * (1 - _rounding(x.shape[1])) - 2 * x[lo : lo + 512] @ x[hi : hi + 512].T
+            a, b = np.nonzero(~(d2 >= 8 * near * (1 + 1e-9) + 1e-6))
             if lo == hi:  # a tile against itself holds every pair twice
                 a, b = a[a < b], b[a < b]
-            out.append(_exact(m, v, i[a + lo], i[b + hi], near))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            if seen is not None:
+                new = (seen[a + lo] & seen[b + hi]) == 0
+                a, b = a[new], b[new]
+            yield _exact(m, v, i[a + lo], i[b + hi], near)
 
 
 def _exact(m: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,13 +173,13 @@ def _bridges(m: np.ndarray, v: np.ndarray, i: np.ndarray, label: np.ndarray, nea
         here = label[i]
     ids, n = np.unique(here, return_counts=True)
     rest = np.flatnonzero(here != ids[n.argmax()])
-    x = m[i] / np.sqrt(np.maximum(v[i], LEAST_VARIANCE).max(0))
+    x = (m[i] - m[i].mean(0)) / np.sqrt(np.maximum(v[i], LEAST_VARIANCE).max(0))
     sq = (x**2).sum(1)
     for lo in range(0, len(rest), 1024):
         r = rest[lo : lo + 1024]
         for hi in range(0, len(i), 4096):
-            d2 = sq[r, None] + sq[None, hi : hi + 4096] - 2 * x[r] @ x[hi : hi + 4096].T
-            a, b = np.nonzero((d2 < 8 * near * (1 + 1e-9) + 1e-6) & (here[r, None] != here[None, hi : hi + 4096]))
+            d2 = (sq[r, None] + sq[None, hi : hi + 4096]) * (1 - _rounding(x.shape[1])) - 2 * x[r] @ x[hi : hi + 4096].T
+            a, b = np.nonzero(~(d2 >= 8 * near * (1 + 1e-9) + 1e-6) & (here[r, None] != here[None, hi : hi + 4096]))
             for at in range(0, len(a), 50_000):
                 p, q = i[r[a[at : at + 50_000]]], i[b[at : at + 50_000] + hi]
                 apart = label[p] != label[q]
@@ -190,7 +216,7 @@ def _alike(m: np.ndarray, v: np.ndarray, band: np.ndarray, at: int, spec: Cluste
         kept = a[best], b[best], d[best]
 
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for leaf in _leaves(m, v, spec):
+    for leaf, _ in _leaves(m, v, spec):
         if len(leaf) <= spec.dense:
             held.append(_within(m, v, leaf, spec.near))
             if sum(len(h[0]) for h in held) > 500_000:
@@ -252,13 +278,8 @@ def records(protos: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, known.select("proto_id", "id").distinct()
 
 
-def links(classes: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:
-    """``(a, b, distance)``: links of the similarity graph over class ids, a < b.
-
-    Besides each node's strongest links (with their distance) there are links with a null distance
-    from parts that they leave apart to the smallest member of the component within a group, so that
-    the links together join exactly the nodes that chains of alike pairs join, and their number
-    stays in proportion to the nodes in the densest group.
+def _grouped(classes: DataFrame, spec: ClusterSpec) -> DataFrame:
+    """``classes`` sorted into groups (compat_id, dim, band, part) that together hold every alike pair.
 
     Two alike records have mean log variances closer than a width that follows from the
     distance's second term, so each record is sent to its band of that width and the next.
@@ -278,7 +299,19 @@ def links(classes: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:
         placed = _divided(placed, big, spec)
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = placed.select("compat_id", "dim", "band", "part", "own", "id", "mean", "variance").repartition(parts, "compat_id", "dim", "band", "part").sortWithinPartitions("compat_id", "dim", "band", "part")
+    return placed.select("compat_id", "dim", "band", "part", "own", "id", "mean", "variance").repartition(parts, "compat_id", "dim", "band", "part").sortWithinPartitions("compat_id", "dim", "band", "part")
+
+
+def links(classes: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:
+    """``(a, b, distance)``: links of the similarity graph over class ids, a < b.
+
+    Besides each node's strongest links (with their distance) there are links with a null distance
+    from parts that they leave apart to the smallest member of the component within a group, so that
+    the links together join exactly the nodes that chains of alike pairs join, and their number
+    stays in proportion to the nodes in the densest group.
+
+    """
+    rows = _grouped(classes, spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 4):
@@ -298,6 +331,51 @@ def links(classes: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint, distance double").groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
+def pairs(classes: DataFrame, spec: ClusterSpec = WHOLE) -> DataFrame:
+    """``(a, b, distance, star)``: every link of the similarity graph over class ids, a < b, each once.
+
+    Rows with ``star`` join exactly the nodes that chains of links join and are fewer than two a node
+    and group; where such a row is no link itself, its distance is null. Tasks hold their group and
+    one piece of a leaf's pairs, never all pairs of a group.
+    """
+    rows = _grouped(classes, spec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, 4):
+            if g.num_rows < 2:
+                continue
+            ids = g.column("id").to_numpy()
+            m, v = matrix(g.column("mean")), matrix(g.column("variance"))
+            mine = g.column("own").to_numpy() == g.column("band")[0].as_py()
+            label = np.arange(len(ids))
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            count = 0
+
+            def batch(p: np.ndarray, q: np.ndarray, d: np.ndarray, star: bool) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(d, from_pandas=True), pa.array(np.full(len(d), star))], ["a", "b", "distance", "star"])
+
+            for leaf, seen in _leaves(m, v, spec):
+                for a, b, d in _tiles(m, v, leaf, spec.near, seen):
+                    ok = mine[a] | mine[b]
+                    if not ok.any():
+                        continue
+                    held.append((a[ok], b[ok], d[ok]))
+                    count += len(held[-1][0])
+                    if count > 200_000:
+                        a, b, d = (np.concatenate(c) for c in zip(*held, strict=True))
+                        held, count = [], 0
+                        label = _merged(label, a, b)
+                        yield batch(ids[a], ids[b], d, False)
+            if held:
+                a, b, d = (np.concatenate(c) for c in zip(*held, strict=True))
+                label = _merged(label, a, b)
+                yield batch(ids[a], ids[b], d, False)
+            far = np.flatnonzero(label != np.arange(len(ids)))
+            yield batch(ids[far], ids[label[far]], np.full(len(far), np.nan), True)
+
+    return rows.mapInArrow(run, "a bigint, b bigint, distance double, star boolean").groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("star").alias("star"))
+
+
 def _divided(placed: DataFrame, big: DataFrame, spec: ClusterSpec) -> DataFrame:
     """Give the records of groups over ``task_rows`` the parts of their group they belong to.
 
@@ -375,7 +453,8 @@ def _divided(placed: DataFrame, big: DataFrame, spec: ClusterSpec) -> DataFrame:
                         continue
                     u, cut_at, left, right = nodes[k]
                     p = x[i] @ u
-                    todo += [(left, i[~(p > cut_at + margin)]), (right, i[~(p < cut_at - margin)])]
+                    edge = margin + _rounding(x.shape[1]) * np.abs(x[i]).sum(1)
+                    todo += [(left, i[~(p > cut_at + edge)]), (right, i[~(p < cut_at - edge)])]
             t = b.take(pa.array(rows, pa.int64()))
             yield t.set_column(b.schema.get_field_index("part"), "part", pa.array(parts, pa.int64()))
 
@@ -401,7 +480,7 @@ def flow(graph: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:
 
     Every round squares the matrix (a join on the middle index and a sum), raises the entries to
     the inflation power, drops what is below ``prune`` of its column's largest entry or beyond the
-    ``partners`` largest, and divides by the column sum. It ends after ``rounds`` rounds, or
+    ``partners`` largest (if there is such a number), and divides by the column sum. It ends after ``rounds`` rounds, or
     once every column has all its flow in equal entries.
     """
     both = graph.select(F.col("a").alias("row"), F.col("b").alias("col"), "weight").unionByName(graph.select(F.col("b").alias("row"), F.col("a").alias("col"), "weight"))
@@ -409,12 +488,15 @@ def flow(graph: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:
     column = Window.partitionBy("col")
     ranked = Window.partitionBy("col").orderBy(F.col("w").desc(), "row")
 
-    def normal(m: DataFrame) -> DataFrame:
-        m = m.withColumn("rn", F.row_number().over(ranked)).withColumn("top", F.first("w").over(ranked))
-        m = m.where((F.col("rn") <= spec.partners) & (F.col("w") >= spec.prune * F.col("top")))
+    def normal(m: DataFrame, prune: float = spec.prune) -> DataFrame:
+        if spec.partners is None:
+            m = m.withColumn("top", F.max("w").over(column)).where(F.col("w") >= prune * F.col("top"))
+        else:
+            m = m.withColumn("rn", F.row_number().over(ranked)).withColumn("top", F.first("w").over(ranked))
+            m = m.where((F.col("rn") <= spec.partners) & (F.col("w") >= prune * F.col("top")))
         return m.select("row", "col", (F.col("w") / F.sum("w").over(column)).alias("p"))
 
-    m = cut(normal(both.unionByName(loops).withColumnRenamed("weight", "w")))
+    m = cut(normal(both.unionByName(loops).withColumnRenamed("weight", "w"), 0.0))
     for _ in range(spec.rounds):
         left = m.select(F.col("row"), F.col("col").alias("mid"), F.col("p").alias("p1"))
         right = m.select(F.col("row").alias("mid"), "col", F.col("p").alias("p2"))
@@ -427,6 +509,79 @@ def flow(graph: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame:
     return m
 
 
+def dense_flow(m: np.ndarray, spec: ClusterSpec = WHOLE) -> np.ndarray:
+    """``flow`` without partners, of components of one size at a time: ``m[k]`` holds the weights of the
+    k-th in both directions and becomes its limit matrix. Each ends by itself."""
+    n = m.shape[-1]
+    m[:, np.arange(n), np.arange(n)] = m.max(-2)
+    m /= m.sum(-2, keepdims=True)
+    going = np.arange(len(m))
+    for _ in range(spec.rounds):
+        x = np.matmul(m[going], m[going]) if len(m) > 1 else np.matmul(m, m)
+        np.power(x, spec.inflation, out=x)
+        least = spec.prune * x.max(-2, keepdims=True)
+        for lo in range(0, n, 256):  # a few rows at a time, as masks of a large matrix are large too
+            part = x[:, lo : lo + 256]
+            part[part < least] = 0.0
+        x /= x.sum(-2, keepdims=True)
+        unsettled = (x.max(-2) - np.einsum("kij,kij->kj", x, x) > 1e-3).any(-1)
+        if len(m) > 1:
+            m[going] = x
+        else:
+            m = x
+        going = going[unsettled]
+        if not len(going):
+            break
+    return m
+
+
+def attracted(graph: DataFrame, roots: DataFrame, spec: ClusterSpec = WHOLE) -> DataFrame:
+    """``(node, att, strength)``: where the flow of each node with links ends, and the flow that ends in it.
+
+    Flow never leaves a component of ``roots``, so components of up to ``dense_nodes`` nodes are one
+    matrix each in some task, unless they are large and thin; the others flow together by joins.
+    """
+    links = cut(graph.where("distance is not null").select("a", "b", F.exp(-F.col("distance")).alias("weight")).join(roots.select(F.col("node").alias("a"), "root"), "a"))
+    size = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(512, spec.dense_nodes))
+    size = size.join(links.groupBy(F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("links")), F.col("root") == F.col("r"))
+    joined = cut(size.where((F.col("n") > spec.dense_nodes) | (F.col("links") * 64 < F.col("n") * F.col("n"))).select("root"))
+    parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = links if joined.isEmpty() else links.join(joined, "root", "left_anti")
+    rows = rows.select("root", "a", "b", "weight").repartition(parts, "root").sortWithinPartitions("root")
+
+    def ends(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        nodes, m = np.stack([h[0] for h in held]), dense_flow(np.stack([h[1] for h in held]) if len(held) > 1 else held.pop()[1][None], spec)
+        # equal ends differ by rounding only: the smallest node stands for them
+        best = np.stack([np.round(m[:, :, k], 9).argmax(1) for k in range(m.shape[-1])], 1)
+        return pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in (nodes, np.take_along_axis(nodes, best, 1), m.sum(-1))], ["node", "att", "strength"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for g in groups(batches):
+            a, b = g.column("a").to_numpy(), g.column("b").to_numpy()
+            nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+            n = len(nodes)
+            m = np.zeros((n, n))
+            a, b = place[: len(a)], place[len(a) :]
+            m[a, b] = m[b, a] = g.column("weight").to_numpy()
+            del g, place, a, b
+            same = held.setdefault(n, [])
+            same.append((nodes, m))
+            del m
+            if len(same) * n * n > 65_536 or len(same) >= 1024:
+                yield ends(held.pop(n))
+        for n in list(held):
+            yield ends(held.pop(n))
+
+    found = rows.mapInArrow(run, "node bigint, att bigint, strength double")
+    if joined.isEmpty():
+        return found
+    m = flow(links.join(joined, "root", "left_semi").select("a", "b", "weight"), spec)
+    strength = m.groupBy("row").agg(F.sum("p").alias("strength"))
+    best = m.groupBy("col").agg(F.max_by("row", F.struct(F.round("p", 9), -F.col("row"))).alias("att"))
+    return found.unionByName(best.join(strength, F.col("col") == F.col("row"), "left").select(F.col("col").alias("node"), "att", F.coalesce("strength", F.lit(0.0)).alias("strength")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)``: the smallest node of each component of ``(u, v)``, for nodes with edges.
 
@@ -464,6 +619,12 @@ def clustered(protos: DataFrame, spec: ClusterSpec = ClusterSpec()) -> DataFrame
     """
     classes, members = records(protos)
     classes = cut(classes)
+    if spec.partners is None:
+        graph = cut(pairs(classes, spec))
+        roots = cut(components(graph.where("star").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        ends = attracted(graph, roots, spec).withColumnRenamed("node", "end")
+        out = members.join(roots, F.col("id") == F.col("node"), "left").join(ends, F.col("id") == F.col("end"), "left")
+        return out.select("id", "proto_id", F.coalesce("att", "id").alias("attractor"), F.coalesce("root", "id").alias("root"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
     graph = cut(links(classes, spec))
     m = flow(graph.where("distance is not null").select("a", "b", F.exp(-F.col("distance")).alias("weight")), spec)
     strength = cut(m.groupBy("row").agg(F.sum("p").alias("strength")))
@@ -501,13 +662,13 @@ def described(out: DataFrame, protos: DataFrame, by: str) -> DataFrame:
 def p4_clusters(spark, sf_dir: str) -> DataFrame:
     """Each cluster of chained records with its records, its summed merged_count and its three most typical members."""
     protos = table(spark, sf_dir, "volatile_positive")
-    return described(cut(clustered(protos)), protos, "root")
+    return described(cut(clustered(protos, WHOLE)), protos, "root")
 
 
 def p4_markov(spark, sf_dir: str) -> DataFrame:
     """The Markov clusters themselves, by attractor, described in the same way."""
     protos = table(spark, sf_dir, "volatile_positive")
-    return described(cut(clustered(protos)), protos, "attractor")
+    return described(cut(clustered(protos, WHOLE)), protos, "attractor")
 
 
 P4_SQL = """
